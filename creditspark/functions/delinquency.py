@@ -74,7 +74,7 @@ def dpd_bucket(dpd: Column | str) -> Column:
 def recode_ra(status: Column | str, prior: Column | str, gap: Column | str) -> Column:
     """Status with RA replaced by the bucket it implies one month after 5, 3 or 2."""
     status, prior, gap = _col(status), _col(prior), _col(gap)
-    after = lambda bucket: (gap == 1) & (prior == bucket)
+    after = lambda bucket: (status == "RA") & (gap == 1) & (prior == bucket)
     return (
         F.when(status != "RA", status)
         .when(after("5"), "6").when(after("3"), "4").when(after("2"), "3")

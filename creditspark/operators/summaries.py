@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -381,18 +382,55 @@ def dpd_percentiles_monthly(df: DataFrame, month: str = schema.MONTH, approx: bo
     )
 
 
+PAIR_SUMS = "feature_a string, feature_b string, n double, ma double, mb double, saa double, sbb double, sab double"
+
+
 def feature_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair over the rows where both are known."""
-    pairs = list(combinations(columns, 2))
-    kept = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    wide = kept.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    long = F.explode(F.array(*[
-        F.struct(
-            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("corr")
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]))
-    return wide.select(long.alias("_x")).select("_x.*")
+    """Pearson correlation of every pair over the rows where both are known.
+
+    Each task reduces its rows to one set of pair sums (counts, means, centred
+    products) with a few matrix products; only those sums are shuffled.
+    """
+    names = list(columns)
+
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(names)
+        total, centre = np.zeros((6, size, size)), None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            known = ~np.isnan(x)
+            if centre is None:
+                seen = known.sum(axis=0)
+                centre = np.where(seen > 0, np.nansum(x, axis=0) / np.maximum(seen, 1), 0.0)
+            m = known.astype(float)
+            x = np.where(known, x - centre, 0.0)
+            a, aa = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, a, a.T, aa, aa.T, x.T @ x])
+        if centre is None:
+            return
+        i, j = np.triu_indices(size, 1)
+        n, a, b, aa, bb, ab = (t[i, j] for t in total)
+        kept = n > 0
+        i, j, n, a, b, aa, bb, ab = (v[kept] for v in (i, j, n, a, b, aa, bb, ab))
+        yield pd.DataFrame({
+            "feature_a": [names[k] for k in i], "feature_b": [names[k] for k in j], "n": n,
+            "ma": centre[i] + a / n, "mb": centre[j] + b / n,
+            "saa": aa - a * a / n, "sbb": bb - b * b / n, "sab": ab - a * b / n,
+        })
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(reduce_rows, PAIR_SUMS)
+    n, ma, mb = F.col("n"), F.col("ma"), F.col("mb")
+    total_n = F.sum(n)
+
+    def merged(within: str, u: Column, v: Column) -> Column:
+        return F.sum(F.col(within) + n * u * v) - F.sum(n * u) * F.sum(n * v) / total_n
+
+    sums = parts.groupBy("feature_a", "feature_b").agg(
+        merged("saa", ma, ma).alias("saa"), merged("sbb", mb, mb).alias("sbb"),
+        merged("sab", ma, mb).alias("sab"),
+    )
+    spread = F.sqrt(F.greatest(F.col("saa"), F.lit(0.0))) * F.sqrt(F.greatest(F.col("sbb"), F.lit(0.0)))
+    return sums.select("feature_a", "feature_b", F.try_divide(F.col("sab"), spread).alias("corr"))
 
 
 # --- per loan ---------------------------------------------------------------
