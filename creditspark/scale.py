@@ -7,9 +7,9 @@ to be small, and otherwise an equivalent plan in which no task holds a whole
 group.  Both plans give the same rows.
 
 Session settings:
-  creditspark.smallBytes   inputs up to this many bytes take the short plan
-  creditspark.hotRows      rows above which one key counts as hot
-  creditspark.chunkRows    rows of a hot key handled by one task
+  spark.creditspark.smallBytes   inputs up to this many bytes take the short plan
+  spark.creditspark.hotRows      rows above which one key counts as hot
+  spark.creditspark.chunkRows    rows of a hot key handled by one task
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ CELLS = 4096
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(f"creditspark.{name}", str(default)))
+    return int(df.sparkSession.conf.get(f"spark.creditspark.{name}", str(default)))
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -11,6 +11,7 @@ from creditspark.models import explain, preprocessing, sicr, training
 from creditspark.operators import sampling
 from creditspark.plans.loans import model_rows
 from creditspark.scale import scratch_dir
+from creditspark.sources import read_table, write_table
 from creditspark.workload import tables as t
 from creditspark.workload.cleaning_queries import ID, LOAN_MONTH
 from creditspark.workload.registry import query
@@ -21,11 +22,15 @@ FAST = {"logistic": {}, "gbt": {"maxIter": 10}, "random_forest": {"numTrees": 20
 
 
 def rows(spark, sf):
-    return model_rows(t.dataset(spark, sf, with_macro=False)).filter(F.col("split").isNotNull())
+    """The modelling table, written once and read back by part."""
+    path = f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    split = model_rows(t.dataset(spark, sf, with_macro=False)).filter(F.col("split").isNotNull())
+    write_table(split, path, partition_by=["split"])
+    return read_table(spark, path)
 
 
-def parts(spark, sf):
-    data = rows(spark, sf)
+def parts(spark, sf, data=None):
+    data = data or rows(spark, sf)
     return [data.filter(F.col("split") == s) for s in ("train", "validation", "test")]
 
 
@@ -85,11 +90,12 @@ query("train_random_forest")(_fit_and_score("random_forest"))
 
 @query("score_calibrated")
 def _(spark, sf):
-    train, validation, _test = parts(spark, sf)
+    data = rows(spark, sf)
+    train, validation, _test = parts(spark, sf, data)
     model = training.fit_calibrated(train, validation, FEATURES, "logistic")
     path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
     training.save_model(model, path)
-    scored = training.score(training.load_model(path), rows(spark, sf))
+    scored = training.score(training.load_model(path), data)
     return scored.select(*ID, "split", "label", "pd")
 
 

@@ -35,13 +35,12 @@ def vintage(p: Column) -> Column:
 
 
 def raw_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("p"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("mo"),
-    ).distinct()
-    keyed = months.select(
-        "p", (F.col("y") * 100 + F.col("mo")).cast("int").alias("ym"),
-        ((F.col("y") - 1995) * 12 + F.col("mo") - 1).alias("age"),
-        (F.col("p") * 7 + F.col("y") * 12 + F.col("mo")).alias("k"),
+    p, y, mo = F.col("l_partkey"), F.year("l_shipdate"), F.month("l_shipdate")
+    # The derived numbers are aggregates, so filters on what follows from them stay
+    # above the grouping instead of being unfolded into the scan.
+    keyed = table(spark, sf_dir, "lineitem").groupBy(p.alias("p"), y.alias("y"), mo.alias("mo")).agg(
+        F.max(y * 100 + mo).alias("ym"), F.max((y - 1995) * 12 + mo - 1).alias("age"),
+        F.max(p * 7 + y * 12 + mo).alias("k"),
     )
     p, k, ym, age = (F.col(c) for c in ("p", "k", "ym", "age"))
     d = k % 173
@@ -147,7 +146,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def levels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Levels of the loans that have months, as the panel shows them."""
-    seen = performance(spark, sf_dir).select("loan_sequence_number")
+    seen = table(spark, sf_dir, "lineitem").select(loan_id(F.col("l_partkey")).alias("loan_sequence_number"))
     return fit_levels(
         origination(spark, sf_dir).join(seen, "loan_sequence_number", "left_semi"), schema.CATEGORICAL
     )
