@@ -52,7 +52,8 @@ def read_performance(spark: SparkSession, root: str, skip_unreadable: bool = Fal
 def read_quarterly(spark: SparkSession, root: str, skip_unreadable: bool = False) -> tuple[DataFrame, DataFrame]:
     """Quarterly `historical_data_[time_]YYYYQn.txt` files as (origination, performance).
 
-    Numeric fields are cast, text and codes are kept; `orign_qtr` comes from the file name.
+    Files lie in `root` or one folder below it.  Numeric fields are cast, text and codes
+    are kept; `orign_qtr` comes from the file name.
     """
     def load(glob: str, fields: list[str], numeric: list[str]) -> DataFrame:
         raw = read_pipe(spark, f"{root}/{glob}", fields, skip_unreadable=skip_unreadable)
@@ -60,8 +61,8 @@ def read_quarterly(spark: SparkSession, root: str, skip_unreadable: bool = False
         df = raw.select("*", F.nullif(quarter, F.lit("")).alias("orign_qtr"))
         return cleaning.cast_numeric(df, numeric)
 
-    origination = load("{historical_data_[0-9]*,*/historical_data_[0-9]*}",
+    origination = load("{historical_data_[0-9]*.txt,*/historical_data_[0-9]*.txt}",
                        schema.ORIGINATION_FIELDS, schema.ORIGINATION_NUMERIC)
-    performance = load("{historical_data_time_*,*/historical_data_time_*}",
+    performance = load("{historical_data_time_*.txt,*/historical_data_time_*.txt}",
                        schema.PERFORMANCE_FIELDS, schema.PERFORMANCE_NUMERIC)
     return origination, performance
