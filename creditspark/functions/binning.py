@@ -23,10 +23,10 @@ def labelled_cut(value: Column, edges: Sequence[float], labels: Sequence[str], r
 
 def quantile_edges(
     df: DataFrame, value: str, q: int = 10, by: Sequence[str] = (), name: str = "_edges",
-    approx: bool = False,
+    frequency: str | None = None,
 ) -> DataFrame:
     """One row per group with the q + 1 quantile edges."""
-    return quantiles(df, value, [i / q for i in range(q + 1)], by, name, approx=approx)
+    return quantiles(df, value, [i / q for i in range(q + 1)], by, name, frequency=frequency)
 
 
 def edge_bin(value: Column, edges: Column, q: int) -> Column:
@@ -40,10 +40,10 @@ def edge_bin(value: Column, edges: Column, q: int) -> Column:
 
 def quantile_bins(
     df: DataFrame, value: str, q: int = 10, by: Sequence[str] = (), name: str = "bin",
-    approx: bool = False,
+    frequency: str | None = None,
 ) -> DataFrame:
     """Add the quantile bin of `value`; tied edges collapse, null values get no bin."""
-    edges = quantile_edges(df, value, q, by, approx=approx)
+    edges = quantile_edges(df, value, q, by, frequency=frequency)
     binned = attach(df, edges, by)
     bin_number = edge_bin(F.col(value), F.col("_edges"), q)
     return binned.withColumn(name, F.when(F.col(value).isNotNull(), bin_number)).drop("_edges")

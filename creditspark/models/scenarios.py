@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark import schema
 from creditspark.functions.features import clip
 from creditspark.operators.curves import cumulative_pd, marginal_pd_by_age
 
+MAX_AGE = 360
+
 Scenarios = Mapping[str, tuple[float, float, float, float]]
 
 
@@ -53,12 +55,17 @@ def scenario_pd(
     per_age = scored.groupBy(*by, "loan_age").agg(
         F.sum(pd).alias("_sum"), F.count(pd).alias("n_obs"), F.avg(pd).alias("pd_marginal")
     )
-    means = per_age.groupBy(*by).agg(
-        F.round(F.sum("_sum") / F.sum("n_obs"), 6).alias("pd_mean_12m")
+    counted = (F.col("n_obs") >= least) & (F.col("loan_age") <= MAX_AGE)
+    survival = F.product(F.when(counted, 1 - F.col("pd_marginal")))
+    upto = (
+        Window.partitionBy("scenario").orderBy("loan_age")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    curve = per_age.withColumn("pd_lifetime", F.when(counted, 1 - survival.over(upto)))
+    return curve.groupBy(*by).agg(
+        F.round(F.sum("_sum") / F.sum("n_obs"), 6).alias("pd_mean_12m"),
+        F.round(F.max("pd_lifetime"), 6).alias("pd_lifetime_max"),
     )
-    curve = cumulative_pd(per_age.filter(F.col("n_obs") >= least), ["scenario"], name="pd_lifetime")
-    top = curve.groupBy("scenario").agg(F.round(F.max("pd_lifetime"), 6).alias("pd_lifetime_max"))
-    return means.join(top, "scenario", "left")
 
 
 def scenario_curves(

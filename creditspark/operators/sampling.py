@@ -19,8 +19,9 @@ def sample_hash(keys: Sequence[str], seed: int) -> Column:
 def _lowest(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence[str], quota: Column) -> DataFrame:
     """The `quota` rows with the lowest key hash in each stratum.
 
-    Rows are counted per hash prefix; whole prefixes below the limit are taken and
-    only the prefix that crosses it is ranked, so no task sorts a stratum.
+    Rows are counted per hash prefix, which gives the prefix where the quota is
+    reached.  Rows beyond it are dropped in the scan; the rest is ranked per prefix,
+    so no task sorts a stratum.
     """
     hashed = df.withColumn("_h", sample_hash(keys, seed)).withColumn("_b", F.substring("_h", 1, PREFIX))
     counts = hashed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -34,14 +35,13 @@ def _lowest(df: DataFrame, keys: Sequence[str], seed: int, strata: Sequence[str]
     crossing = limits.filter(F.col("_cum") > F.col("_quota")).groupBy(*strata).agg(
         F.min(F.struct("_b", (F.col("_quota") - F.col("_cum") + F.col("_n")).alias("left"))).alias("_at")
     )
-    marked = attach(hashed, crossing, strata)
-    whole = marked.filter(F.col("_at").isNull() | (F.col("_b") < F.col("_at._b")))
+    inside = F.col("_at").isNull() | (F.col("_b") <= F.col("_at._b"))
+    near = attach(hashed, crossing, strata).filter(inside)
     rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", *keys))
-    edge = (
-        marked.filter(F.col("_b") == F.col("_at._b")).withColumn("_rank", rank)
-        .filter(F.col("_rank") <= F.col("_at.left")).drop("_rank")
+    chosen = near.withColumn("_rank", rank).filter(
+        F.col("_at").isNull() | (F.col("_b") < F.col("_at._b")) | (F.col("_rank") <= F.col("_at.left"))
     )
-    return whole.unionByName(edge).drop("_h", "_b", "_at")
+    return chosen.drop("_h", "_b", "_at", "_rank")
 
 
 def random_subsample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -13,9 +13,21 @@ from creditspark.operators.summaries import rows, with_share
 STAGES = [1, 2, 3]
 
 
+def _weight(moved: DataFrame) -> Column:
+    """A counted table stands for `n` rows per row."""
+    return F.col("n") if "n" in moved.columns else F.lit(1)
+
+
+def transition_counts(
+    moved: DataFrame, later: str, year: Column, stage: str = "ifrs9_stage",
+) -> DataFrame:
+    """Rows per stage, later stage, vintage and year: all tables below follow from it."""
+    return moved.groupBy(stage, later, schema.VINTAGE, year.alias("year")).agg(rows().alias("n"))
+
+
 def stage_matrix(moved: DataFrame, later: str, scale: float = 1.0, stage: str = "ifrs9_stage") -> DataFrame:
     """(stage, later stage, n, share of the row's stage)."""
-    counts = moved.groupBy(stage, later).agg(rows().alias("n"))
+    counts = moved.groupBy(stage, later).agg(F.sum(_weight(moved)).alias("n"))
     return with_share(counts, "n", "prob", [stage], scale)
 
 
@@ -40,9 +52,10 @@ def key_rates(matrix: DataFrame, later: str, stage: str = "ifrs9_stage") -> Data
 
 def cure_rate_yearly(moved: DataFrame, later: str, year: Column, stage: str = "ifrs9_stage") -> DataFrame:
     """Share of stage-2 rows found in stage 1 later, per year."""
-    cured = (F.col(later) == 1).cast("int")
+    n = _weight(moved)
+    cured = F.sum(F.when(F.col(later) == 1, n).otherwise(0))
     return moved.filter(F.col(stage) == 2).groupBy(year.alias("year")).agg(
-        F.avg(cured).alias("cure_rate"), rows().alias("n")
+        (cured / F.sum(n)).alias("cure_rate"), F.sum(n).alias("n")
     )
 
 
@@ -51,9 +64,10 @@ def stage_psi(
     new: Sequence[int] = tuple(schema.TEST_VINTAGES), stage: str = "ifrs9_stage",
 ) -> DataFrame:
     """Stability index of the stage mix over the stages both sides have."""
-    is_ref = F.col(schema.VINTAGE).isin(list(reference)).cast("int")
-    is_new = F.col(schema.VINTAGE).isin(list(new)).cast("int")
-    counts = moved.groupBy(stage).agg(F.sum(is_ref).alias("ref"), F.sum(is_new).alias("new"))
+    def total(vintages: Sequence[int]) -> Column:
+        return F.sum(F.when(F.col(schema.VINTAGE).isin(list(vintages)), _weight(moved)).otherwise(0))
+
+    counts = moved.groupBy(stage).agg(total(reference).alias("ref"), total(new).alias("new"))
     shares = with_share(with_share(counts, "ref", "p"), "new", "q")
     both = shares.filter((F.col("ref") > 0) & (F.col("new") > 0))
     p, q = F.greatest("p", F.lit(1e-6)), F.greatest("q", F.lit(1e-6))

@@ -94,7 +94,8 @@ def run(
         k: store.model(k, lambda k=k: training.fit_calibrated(train, valid, features, k, **options.get(k, {})))
         for k in kinds
     }
-    scored = training.scored_parts(models, data, features, parts=("train", "validation", "test"))
+    scored = store.table("scored_models", lambda: training.scored_parts(
+        models, data, features, parts=("train", "validation", "test")), partition_by=["model", "split"])
     results["resultados_modelos"] = training.comparison(scored)
 
     # Significant increase in credit risk, written beside the dataset it extends.
@@ -119,10 +120,11 @@ def run(
         checked, "label", "pd", F.col("split") == "train", ["model"])
     results["validacion_backtesting"] = validation.backtest_deciles(
         scored.filter(F.col("split") == "test"), "label", "pd", ["model"])
-    moved = history.stage_after(panel, 3, "stage_q3", skew_from=performance)
+    moved = store.table("stage_moves", lambda: transitions.transition_counts(
+        history.stage_after(panel, 3, "stage_q3"), "stage_q3", F.year(schema.MONTH)), partition_by=())
     results["transition_matrix_observed"] = transitions.pivot_matrix(
         transitions.stage_matrix(moved, "stage_q3"), "ifrs9_stage", "stage_q3", "prob")
-    results["cure_rates"] = transitions.cure_rate_yearly(moved, "stage_q3", F.year(schema.MONTH))
+    results["cure_rates"] = transitions.cure_rate_yearly(moved, "stage_q3", F.col("year"))
     results["stage_psi"] = transitions.stage_psi(moved)
     results["lifetime_pd_backtest_by_vintage"] = curves.lifetime_backtest(panel, curve, least=least_backtest)
 

@@ -60,10 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if the table is proven small; otherwise left to the planner."""
-    if is_small(df) or df.limit(max_rows + 1).count() <= max_rows:
+    """Broadcast hint only if the table is proven small; otherwise left to the planner.
+
+    A small table at the end of a large plan is stored once, counted and used from there.
+    """
+    if is_small(df):
         return F.broadcast(df)
-    return df
+    stored = cut(df.limit(max_rows + 1))
+    return F.broadcast(stored) if stored.count() <= max_rows else df
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -230,8 +234,12 @@ def quantiles(
     name: str = "q",
     aggs: Sequence[Column] = (),
     approx: bool = False,
+    frequency: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolation quantiles of `value` per group as array `name`, plus `aggs`."""
+    """Linear-interpolation quantiles of `value` per group as array `name`, plus `aggs`.
+
+    With `frequency`, a row stands for that many equal values.
+    """
     groups = list(groups)
     if approx:
         return df.groupBy(*groups).agg(
@@ -239,9 +247,11 @@ def quantiles(
         )
     if is_small(df):
         wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*groups).agg(*aggs, F.percentile(value, wanted).alias(name))
+        times = F.col(frequency) if frequency else F.lit(1)
+        return df.groupBy(*groups).agg(*aggs, F.percentile(value, wanted, times).alias(name))
 
-    counts = df.groupBy(*groups, value).agg(F.count(value).alias("_n"))
+    known = F.count(value) if frequency is None else F.sum(F.when(F.col(value).isNotNull(), F.col(frequency)).otherwise(0))
+    counts = df.groupBy(*groups, value).agg(known.alias("_n"))
     totals = running_totals(counts, value, ["_n"], groups)
 
     def at(rank: Column) -> Column:

@@ -87,6 +87,12 @@ def test_matrix_rows_sum_to_one(spark):
     long = transitions.stage_matrix(df, "later")
     wide = transitions.pivot_matrix(long, "ifrs9_stage", "later", "prob").collect()
     assert all(abs(r.to_1 + r.to_2 + r.to_3 - 1) < 1e-12 for r in wide)
+    moved = df.withColumns({"vintage_year": F.lit(2016), "y": F.lit(2020)})
+    counted = transitions.transition_counts(moved, "later", F.col("y"))
+    both = [sorted(map(tuple, transitions.stage_matrix(t, "later").collect())) for t in (moved, counted)]
+    assert both[0] == both[1]
+    cure = transitions.cure_rate_yearly(counted, "later", F.col("year")).first()
+    assert cure.n == 3 and cure.cure_rate == pytest.approx(1 / 3)
     assert transitions.key_rates(long, "later").first().stage_1_to_3 is None
 
 
