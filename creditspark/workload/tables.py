@@ -6,94 +6,96 @@ All values are whole numbers before they become doubles, so both engines agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from creditspark import schema
+from creditspark.functions.cleaning import clear_codes, join_key
 from creditspark.models.preprocessing import fit_levels
 from creditspark.operators import history, joins, macro
 from creditspark.plans import loan_master, loans
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_SCHEMAS: dict[str, StructType] = {}
 
 
-def _pick(number: Column, values: dict[int, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for n, v in values.items():
-        out = F.when(number == n, v).otherwise(out)
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def loan_id(p: Column) -> Column:
-    return F.concat(F.lit("F"), F.lpad(p.cast("string"), 11, "0"))
+def loan_id(p: str) -> str:
+    return f"concat('F', lpad(cast({p} AS string), 11, '0'))"
 
 
-def vintage(p: Column) -> Column:
-    return (F.lit(2016) + p % 8 + F.when(p % 8 > 4, 1).otherwise(0)).cast("int")
+def vintage(p: str) -> str:
+    return f"cast(2016 + {p} % 8 + CASE WHEN {p} % 8 > 4 THEN 1 ELSE 0 END AS int)"
 
 
 def raw_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, y, mo = F.col("l_partkey"), F.year("l_shipdate"), F.month("l_shipdate")
     # The derived numbers are aggregates, so filters on what follows from them stay
     # above the grouping instead of being unfolded into the scan.
-    keyed = table(spark, sf_dir, "lineitem").groupBy(p.alias("p"), y.alias("y"), mo.alias("mo")).agg(
-        F.max(y * 100 + mo).alias("ym"), F.max((y - 1995) * 12 + mo - 1).alias("age"),
-        F.max(p * 7 + y * 12 + mo).alias("k"),
-    )
-    p, k, ym, age = (F.col(c) for c in ("p", "k", "ym", "age"))
-    d = k % 173
-    status = (
-        F.when(k % 307 == 0, None).when(d < 3, "1").when(d < 5, "2").when(d < 7, "3")
-        .when(d == 7, "4").when(d == 8, "5")
-        .when(d == 9, F.when(p % 3 == 0, "RA").otherwise("6")).otherwise("0")
-    )
-    sale = (
-        F.when(k % 73 == 0, "U").when((k % 73).between(1, 3), (F.lit(1000) + k % 500).cast("string"))
-    )
-    eltv = F.when(ym >= 199704, F.when(k % 67 == 0, 999.0).otherwise((F.lit(40) + k % 60).cast("double")))
-    rate = (F.lit(30) + p % 30).cast("double") / 10 - F.when(k % 53 < 2, 0.5).otherwise(0.0)
-    return keyed.select(
-        loan_id(p).alias("loan_sequence_number"), ym.alias("monthly_reporting_period"),
-        F.greatest(F.lit(0), F.lit(50000) + (p % 40) * 5000 - age * 450).cast("double").alias("current_actual_upb"),
-        status.alias("current_loan_delinquency_status"), age.cast("double").alias("loan_age"),
-        _pick(k % 53, {0: "Y", 1: "P"}).alias("modification_flag"),
-        _pick(k % 59, {0: "Y", 1: "P"}).alias("payment_deferral_flag"),
-        _pick(k % 401, {0: "02", 1: "03", 2: "09", 3: "01", 4: "15", 5: "96"}).alias("zero_balance_code"),
-        rate.alias("current_interest_rate"), eltv.alias("estimated_loan_to_value_eltv"),
-        sale.alias("net_sale_proceeds"), vintage(p).alias("vintage_year"),
+    months = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey AS p", "year(l_shipdate) AS y", "month(l_shipdate) AS mo")
+    keyed = months.groupBy("p", "y", "mo").agg(
+        F.expr("max(y * 100 + mo) AS ym"), F.expr("max((y - 1995) * 12 + mo - 1) AS age"),
+        F.expr("max(p * 7 + y * 12 + mo) AS k"))
+    return keyed.selectExpr(
+        f"{loan_id('p')} AS loan_sequence_number",
+        "ym AS monthly_reporting_period",
+        "cast(greatest(0, 50000 + (p % 40) * 5000 - age * 450) AS double) AS current_actual_upb",
+        """CASE WHEN k % 307 = 0 THEN NULL WHEN k % 173 < 3 THEN '1' WHEN k % 173 < 5 THEN '2'
+             WHEN k % 173 < 7 THEN '3' WHEN k % 173 = 7 THEN '4' WHEN k % 173 = 8 THEN '5'
+             WHEN k % 173 = 9 THEN CASE WHEN p % 3 = 0 THEN 'RA' ELSE '6' END ELSE '0' END
+           AS current_loan_delinquency_status""",
+        "cast(age AS double) AS loan_age",
+        "CASE k % 53 WHEN 0 THEN 'Y' WHEN 1 THEN 'P' END AS modification_flag",
+        "CASE k % 59 WHEN 0 THEN 'Y' WHEN 1 THEN 'P' END AS payment_deferral_flag",
+        """CASE k % 401 WHEN 0 THEN '02' WHEN 1 THEN '03' WHEN 2 THEN '09' WHEN 3 THEN '01'
+             WHEN 4 THEN '15' WHEN 5 THEN '96' END AS zero_balance_code""",
+        """cast(30 + p % 30 AS double) / 10D - CASE WHEN k % 53 < 2 THEN 0.5D ELSE 0D END
+           AS current_interest_rate""",
+        """CASE WHEN ym < 199704 THEN NULL WHEN k % 67 = 0 THEN 999D ELSE cast(40 + k % 60 AS double) END
+           AS estimated_loan_to_value_eltv""",
+        """CASE WHEN k % 73 = 0 THEN 'U' WHEN k % 73 BETWEEN 1 AND 3 THEN cast(1000 + k % 500 AS string) END
+           AS net_sale_proceeds""",
+        f"{vintage('p')} AS vintage_year",
     )
 
 
+def _coded(every: int, code: int, value: str, name: str) -> str:
+    return f"CASE WHEN p % {every} = 0 THEN {code}D ELSE cast({value} AS double) END AS {name}"
+
+
+def _choice(values: list[str], name: str) -> str:
+    return f"element_at(array({', '.join(repr(v) for v in values)}), cast(p % {len(values)} + 1 AS int)) AS {name}"
+
+
 def raw_origination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_partkey")
-
-    def coded(every: int, code: int, value: Column) -> Column:
-        return F.when(p % every == 0, float(code)).otherwise(value.cast("double"))
-
-    def choice(values: list[str]) -> Column:
-        return _pick(p % len(values), dict(enumerate(values)))
-
-    return table(spark, sf_dir, "part").filter(p % 109 != 0).select(
-        F.concat(F.lit(" "), loan_id(p), F.lit(" ")).alias("loan_sequence_number"),
-        coded(97, 9999, F.lit(580) + (p * 13) % 250).alias("credit_score"),
-        ((F.lit(1995) + p % 5) * 100 + 1 + p % 12).cast("int").alias("first_payment_date"),
-        coded(101, 99, F.lit(1) + p % 4).alias("number_of_units"),
-        coded(103, 99, F.lit(1) + p % 2).alias("number_of_borrowers"),
-        coded(89, 999, F.lit(40) + (p * 11) % 60).alias("original_ltv"),
-        coded(89, 999, F.lit(42) + (p * 11) % 60).alias("original_cltv"),
-        coded(83, 999, F.lit(10) + (p * 17) % 45).alias("original_dti"),
-        (F.lit(50000) + (p % 40) * 5000).cast("double").alias("original_upb"),
-        ((F.lit(30) + p % 30).cast("double") / 10).alias("original_interest_rate"),
-        F.when(p % 3 == 0, 180.0).otherwise(360.0).alias("original_loan_term"),
-        choice(["P", "I", "S", "9"]).alias("occupancy_status"),
-        choice(["R", "B", "C", "R", "9"]).alias("channel"),
-        choice(["P", "C", "N", "9"]).alias("loan_purpose"),
-        choice(["SF", "PU", "CO", "MH", "CP", "99"]).alias("property_type"),
-        F.when(p % 7 == 0, "ARM").otherwise("FRM").alias("amortization_type"),
-        ((p % 900) * 100).cast("string").alias("postal_code3_trunc"),
-        vintage(p).alias("vintage_year"),
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS p").filter("p % 109 <> 0")
+    return parts.selectExpr(
+        f"concat(' ', {loan_id('p')}, ' ') AS loan_sequence_number",
+        _coded(97, 9999, "580 + (p * 13) % 250", "credit_score"),
+        "cast((1995 + p % 5) * 100 + 1 + p % 12 AS int) AS first_payment_date",
+        _coded(101, 99, "1 + p % 4", "number_of_units"),
+        _coded(103, 99, "1 + p % 2", "number_of_borrowers"),
+        _coded(89, 999, "40 + (p * 11) % 60", "original_ltv"),
+        _coded(89, 999, "42 + (p * 11) % 60", "original_cltv"),
+        _coded(83, 999, "10 + (p * 17) % 45", "original_dti"),
+        "cast(50000 + (p % 40) * 5000 AS double) AS original_upb",
+        "cast(30 + p % 30 AS double) / 10D AS original_interest_rate",
+        "CASE WHEN p % 3 = 0 THEN 180D ELSE 360D END AS original_loan_term",
+        _choice(["P", "I", "S", "9"], "occupancy_status"),
+        _choice(["R", "B", "C", "R", "9"], "channel"),
+        _choice(["P", "C", "N", "9"], "loan_purpose"),
+        _choice(["SF", "PU", "CO", "MH", "CP", "99"], "property_type"),
+        "CASE WHEN p % 7 = 0 THEN 'ARM' ELSE 'FRM' END AS amortization_type",
+        "cast((p % 900) * 100 AS string) AS postal_code3_trunc",
+        f"{vintage('p')} AS vintage_year",
     )
 
 
@@ -102,8 +104,6 @@ TEXT_CODES = {c: v for c, v in schema.ORIGINATION_CODES.items() if c in (
 
 
 def origination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from creditspark.functions.cleaning import clear_codes
-
     return clear_codes(loans.prepare_origination(raw_origination(spark, sf_dir)), TEXT_CODES)
 
 
@@ -132,11 +132,11 @@ def quick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_scores(df: DataFrame) -> DataFrame:
     """Given probabilities: small fractions that depend on loan and month."""
-    loan = F.substring("loan_sequence_number", 2, 11).cast("long")
-    age = F.col("loan_age").cast("long")
     return df.withColumns({
-        "pd_origination": ((loan * 31) % 89).cast("double") / 2000,
-        "pd_current": ((loan * 17 + age * 5) % 97 + 1).cast("double") / 1000,
+        "pd_origination": F.expr("cast(cast(substr(loan_sequence_number, 2) AS bigint) * 31 % 89 AS double) / 2000D"),
+        "pd_current": F.expr(
+            "cast((cast(substr(loan_sequence_number, 2) AS bigint) * 17 + cast(loan_age AS bigint) * 5) % 97 + 1"
+            " AS double) / 1000D"),
     })
 
 
@@ -146,7 +146,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def levels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Levels of the loans that have months, as the panel shows them."""
-    seen = table(spark, sf_dir, "lineitem").select(loan_id(F.col("l_partkey")).alias("loan_sequence_number"))
+    seen = table(spark, sf_dir, "lineitem").selectExpr(f"{loan_id('l_partkey')} AS loan_sequence_number")
     return fit_levels(
         origination(spark, sf_dir).join(seen, "loan_sequence_number", "left_semi"), schema.CATEGORICAL
     )
@@ -154,25 +154,16 @@ def levels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
 
 def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, date, value): monthly, quarterly and weekly series of the order dates."""
-    days = table(spark, sf_dir, "orders").select(
-        F.to_date("o_orderdate").alias("day")
-    ).distinct()
-    months = days.select(F.trunc("day", "MM").alias("date")).distinct().withColumn(
-        "v", (F.year("date") - 1995) * 12 + F.month("date") + 100
-    )
-    weeks = days.select(F.trunc("day", "week").alias("date")).distinct()
-    v, quarter = F.col("v"), F.month("date").isin(1, 4, 7, 10)
-
-    def series(name: str, df: DataFrame, value: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("series_id"), "date", value.cast("double").alias("value"))
-
-    return (
-        series("USSTHPI", months.filter(quarter), v * 3 + v % 5)
-        .unionByName(series("UNRATE", months, v % 7 + 3))
-        .unionByName(series("FEDFUNDS", months, v % 5))
-        .unionByName(series("GDPC1", months.filter(quarter), v * 10))
-        .unionByName(series("MORTGAGE30US", weeks, F.dayofmonth("date") + 300))
-    )
+    days = table(spark, sf_dir, "orders").selectExpr("to_date(o_orderdate) AS day").distinct()
+    months = days.selectExpr("trunc(day, 'MM') AS date").distinct().selectExpr(
+        "date", "(year(date) - 1995) * 12 + month(date) + 100 AS v", "month(date) IN (1, 4, 7, 10) AS quarter")
+    monthly = months.selectExpr("date", """stack(4,
+        'USSTHPI', cast(v * 3 + v % 5 AS double), quarter, 'UNRATE', cast(v % 7 + 3 AS double), true,
+        'FEDFUNDS', cast(v % 5 AS double), true, 'GDPC1', cast(v * 10 AS double), quarter)
+        AS (series_id, value, kept)""").filter("kept").select("series_id", "date", "value")
+    weekly = days.selectExpr("trunc(day, 'week') AS date").distinct().selectExpr(
+        "'MORTGAGE30US' AS series_id", "date", "cast(day(date) + 300 AS double) AS value")
+    return monthly.unionByName(weekly)
 
 
 def macro_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,8 +200,6 @@ def short_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_origination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from creditspark.functions.cleaning import join_key
-
     df = loan_master.short_names(raw_origination(spark, sf_dir).drop("vintage_year"))
     return df.withColumn("id_loan", join_key("id_loan"))
 
