@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from math import factorial
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions of this file travel to the tasks by value: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def input_names(model: PipelineModel) -> list[str]:
     """Features in the order of the model's vector."""

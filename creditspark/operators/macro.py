@@ -17,28 +17,27 @@ def _month(c: str = "date") -> Column:
     return F.trunc(c, "MM")
 
 
-def quarterly_to_monthly(series: DataFrame) -> DataFrame:
-    """Each observation holds until the month before the next one; the last is one month."""
-    w = Window.partitionBy("series_id").orderBy("month")
-    step = F.expr("interval 1 month")
-    observed = series.select("series_id", _month().alias("month"), "value")
-    last = F.greatest(F.col("month"), F.add_months(F.lead("month").over(w), -1))
-    return observed.withColumn("_last", last).select(
-        "series_id", F.explode(F.sequence("month", "_last", step)).alias("date"), "value"
-    )
+def _through_gaps(monthly: DataFrame, hold: bool) -> DataFrame:
+    """Each row also covers the months before the next row of its series: with its own
+    value if `hold`, else with null.  The last row is one month."""
+    w = Window.partitionBy("series_id").orderBy("date")
+    last = F.greatest(F.col("date"), F.add_months(F.lead("date").over(w), -1))
+    months = F.explode(F.sequence("date", "_last", F.expr("interval 1 month")))
+    spread = monthly.withColumn("_last", last).select(
+        "series_id", F.col("date").alias("_from"), "value", months.alias("date"))
+    value = F.col("value") if hold else F.when(F.col("date") == F.col("_from"), F.col("value"))
+    return spread.select("series_id", "date", value.alias("value"))
 
 
-def _every_month(monthly: DataFrame) -> DataFrame:
-    """All months between the first and the last of each series; gaps are null."""
-    ends = monthly.groupBy("series_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    months = ends.select("series_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("date"))
-    return months.join(monthly, ["series_id", "date"], "left")
+def quarterly_to_monthly(series: DataFrame) -> DataFrame:
+    """Each observation holds until the month before the next one."""
+    return _through_gaps(series.select("series_id", _month().alias("date"), "value"), hold=True)
 
 
 def weekly_to_monthly(series: DataFrame) -> DataFrame:
     """Mean of the month's observations."""
     means = series.groupBy("series_id", _month().alias("date")).agg(F.avg("value").alias("value"))
-    return _every_month(means)
+    return _through_gaps(means, hold=False)
 
 
 def monthly_last(series: DataFrame) -> DataFrame:
@@ -47,7 +46,7 @@ def monthly_last(series: DataFrame) -> DataFrame:
     latest = series.groupBy("series_id", _month().alias("date")).agg(
         F.max_by("value", known).alias("value")
     )
-    return _every_month(latest)
+    return _through_gaps(latest, hold=False)
 
 
 def outer_align(monthly: DataFrame, names: Mapping[str, str]) -> DataFrame:
