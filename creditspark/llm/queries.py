@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import lines, quality
+from creditspark.llm import decontaminate, lines, neardup, quality
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,33 @@ SELECT doc_id, new AS text, lang, source,
 @query("op7_line_dedup", LINES_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+
+
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+LEAKS_SQL = """
+WITH w AS (
+  SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id,
+         regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z[:^ascii:]]+') AS words FROM documents
+  UNION ALL
+  SELECT 'i', row_number() OVER (), item_id,
+         regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z[:^ascii:]]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT kind, row, id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+  FROM w WHERE len(words) >= 5
+), sizes AS (SELECT row, count(*) AS size FROM s WHERE kind = 'i' GROUP BY row),
+both_of AS (
+  SELECT d.row AS d, d.id AS doc_id, i.row AS i, i.id AS item_id, count(*) AS shared
+  FROM s d JOIN s i ON d.shingle = i.shingle AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, shared * 1.0::DOUBLE / size AS containment
+FROM both_of JOIN sizes ON sizes.row = both_of.i WHERE shared >= 0.8 * size - 1e-9
+"""
+
+
+@query("op8_benchmark_decontamination", LEAKS_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
