@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import decontaminate, lines, neardup, quality
+from creditspark.llm import bpe, decontaminate, lines, neardup, quality
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,8 @@ FROM both_of JOIN sizes ON sizes.row = both_of.i WHERE shared >= 0.8 * size - 1e
 @query("op8_benchmark_decontamination", LEAKS_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
