@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import bpe, decontaminate, lines, neardup, quality, topk
+from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, quality, topk, urls
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 @query("op10_exact_top_k", TOP_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_url_filters")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
