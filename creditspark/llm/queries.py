@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, quality, topk, urls
+from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, pii, quality, topk, urls
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_url_filters")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
