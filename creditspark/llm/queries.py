@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, pii, quality, topk, urls
+from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, pii, quality, suffix, topk, urls
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii_surrogates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
