@@ -70,6 +70,42 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     return longest
 
 
+#: Fixed values.  Unicode 16 letters and numbers that the tokenizers library knows and Python's tables may not know yet.
+_NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
+#: Fixed values.  Capitals whose small letters Python's tables may not know yet, and two rows of such capitals (first, last, distance).
+_NEW_SMALL = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+}
+_NEW_ROWS = ((0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+_SMALL = {ord("Σ"): "σ", **_NEW_SMALL, **{c: c + d for a, b, d in _NEW_ROWS for c in range(a, b + 1)}}
+_RARE = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+#: Characters from here on may have other classes in other versions of Unicode.
+_LATER = re.compile("[\u0500-\U0010ffff]")
+#: The white space of the Unicode standard, as a part of a character class.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def character_class(kind: str, more: tuple[tuple[int, int], ...]) -> str:
+    """All code points of a general category (L, N), as a part of a character class."""
+    points = sorted({c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind}
+                    | {c for a, b in more for c in range(a, b + 1)})
+    parts, start = [], points[0]
+    for here, after in zip(points, [*points[1:], -1]):
+        if after != here + 1:
+            parts.append(f"\\U{start:08x}-\\U{here:08x}")
+            start = after
+    return "".join(parts)
+
+
 class Tokenizer:
     """A merge list with word ends, its vocabulary, and the rules that cut a text into words."""
 
@@ -94,7 +130,12 @@ class Tokenizer:
         self.alphabet = byte_alphabet()
         self.to_symbols = {b: c for b, c in enumerate(self.alphabet)}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.find_words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._find_settled = regex.compile(pattern).findall  # faster, and the same where no character class has changed
+        pattern = pattern.replace(r"\s", _SPACE)
+        for kind, more in (("L", _NEW_LETTERS), ("N", _NEW_NUMBERS)):
+            pattern = pattern.replace(rf"\p{{{kind}}}", character_class(kind, more))
+        self._find_any = re.compile(pattern).findall
         self._holds: dict[tuple[int, int], bool] = {}
         #: every ending of a token -> the token that it is, or -1: a search to the left stops where no token goes on
         self.endings: dict[str, int] = {}
@@ -103,6 +144,9 @@ class Tokenizer:
             for j in range(1, len(s.removesuffix(_END))):
                 self.endings.setdefault(s[j:], -1)
 
+    def find_words(self, text: str) -> list[str]:
+        return (self._find_any if not text.isascii() and _LATER.search(text) else self._find_settled)(text)
+
     def holds(self, a: int, b: int) -> bool:
         """Whether the tokens a, b in a row stay as they are, that is, no merge crosses the border between them."""
         known = self._holds.get((a, b))
@@ -229,13 +273,15 @@ class Tokenizer:
 def normalized(text: str) -> str:
     """Composed, lower case character by character (a final sigma has no form of its own)."""
     text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower()
+    if not text.isascii() and _RARE.search(text):
+        text = text.translate(_SMALL)
+    return text.lower()
 
 
 def cut_pieces(text: str, limit: int = PIECE) -> Iterator[str]:
     """Pieces of about `limit` characters, cut before white space, so that no word and no composition is cut."""
     start = 0
-    space = re.compile(r"\s")
+    space = re.compile(f"[{_SPACE}]")
     while len(text) - start > limit:
         found = space.search(text, start + limit)
         if not found:

@@ -29,6 +29,7 @@ from math import isqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from creditspark.llm.common import pieces
 
@@ -311,5 +312,5 @@ def protect(docs: DataFrame, key: str = KEY, check: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*arrays, pa.array([len(m[1]) for m in made], pa.int32())], [*columns, "n_entities"])
 
-    schema = docs.select(*columns).schema.add("n_entities", "int")
+    schema = docs.select(*columns).schema.add("n_entities", IntegerType())
     return docs.select(*columns).mapInArrow(run, schema)
