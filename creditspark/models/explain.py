@@ -49,7 +49,7 @@ def tree_leaves(model: PipelineModel, path: str) -> list[tuple[float, list[tuple
     product of its branch shares.
     """
     trees = model.stages[2]
-    trees.write().save(path)
+    trees.write().overwrite().save(path)
     stored = _session().read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
     weights = trees.treeWeights
     by_tree: dict[int, dict[int, object]] = {}
@@ -113,7 +113,7 @@ def shap_values(model: PipelineModel, df: DataFrame, path: str, keep: Sequence[s
 
     Spark's boosted probability is 1 / (1 + exp(-2 margin)), so both are doubled.
     """
-    leaves = tree_leaves(model, path)
+    leaves = _session().sparkContext.broadcast(tree_leaves(model, path))
     names = input_names(model)
     ready = model.stages[1].transform(model.stages[0].transform(df))
     rows = ready.select(*keep, vector_to_array("features").alias("_x"))
@@ -121,7 +121,7 @@ def shap_values(model: PipelineModel, df: DataFrame, path: str, keep: Sequence[s
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.vstack(batch["_x"]) if len(batch) else np.zeros((0, len(names)))
-            values, base = tree_contributions(x, leaves)
+            values, base = tree_contributions(x, leaves.value)
             yield batch.drop(columns="_x").assign(shap=list(2.0 * values), base=2.0 * base)
 
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.drop("_x").dtypes)

@@ -8,22 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.operators.summaries import long_form
-from creditspark.scale import is_small, quantiles
+from creditspark.scale import cut, is_small, quantiles, running_totals
 
 MAX_LEVELS = 10_000
 
 
-def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of each code column, from one aggregate."""
+def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str] | DataFrame]:
+    """Sorted distinct values of each code column, from one aggregate.
+
+    A column of more than MAX_LEVELS values gets a table (level, code) instead of a list.
+    """
     if not columns:
         return {}
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    found = text.unpivot([], list(columns), "variable", "level").filter(
-        F.col("level").isNotNull()
-    ).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: not code columns")
-    return {c: sorted(r.level for r in found if r.variable == c) for c in columns}
+    found = cut(text.unpivot([], list(columns), "variable", "level").filter(F.col("level").isNotNull()).distinct())
+    sizes = {r["variable"]: r["count"] for r in found.groupBy("variable").count().collect()}
+    few = [c for c in columns if sizes.get(c, 0) <= MAX_LEVELS]
+    listed = found.filter(F.col("variable").isin(few)).collect()  # at most MAX_LEVELS for each column
+    levels: dict[str, list[str] | DataFrame] = {c: sorted(r["level"] for r in listed if r["variable"] == c) for c in few}
+    for c in columns:
+        if c not in levels:
+            one = found.filter(F.col("variable") == c).select("level", F.lit(1).alias("_one"))
+            levels[c] = running_totals(one, "level", ["_one"]).select(
+                "level", (F.col("cum__one") - 1).cast("int").alias("code"))
+    return levels
 
 
 def level_code(column: str, levels: Sequence[str]) -> Column:
@@ -34,13 +42,21 @@ def level_code(column: str, levels: Sequence[str]) -> Column:
 
 
 def encode_levels(
-    df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None,
+    df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[str] | DataFrame] | None = None,
     fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace code columns by level numbers."""
+    """Replace code columns by level numbers: by an expression, or by a join where there are many levels."""
     if levels is None:
         levels = fit_levels(df if fit_on is None else fit_on, columns)
-    return df.withColumns({c: level_code(c, levels[c]) for c in columns})
+    names = df.columns
+    listed = {c: level_code(c, levels[c]) for c in columns if not isinstance(levels[c], DataFrame)}
+    out = df.withColumns(listed)
+    for c in columns:
+        if c not in listed:
+            table = levels[c].select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+            out = out.join(table, F.col(c).cast("string") == F.col("_level"), "left").withColumn(
+                c, F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
+    return out.select(*names)
 
 
 def fit_medians(df: DataFrame, columns: Sequence[str], approx: bool = False) -> dict[str, float | None]:

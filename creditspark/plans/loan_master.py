@@ -16,6 +16,7 @@ from creditspark import schema
 from creditspark.functions import cleaning
 from creditspark.functions.delinquency import zero_balance
 from creditspark.operators.history import lag_features
+from creditspark.scale import row_hash
 
 # Terminal-record columns that are passed through when present.
 CARRIED = [
@@ -60,8 +61,13 @@ def balance(*before: str, last: str = "orig_upb") -> Column:
     return cleaning.fallback(*[F.col(c) for c in before], F.col(last))
 
 
-def _first(condition: Column, fields: Sequence[str], month: str) -> Column:
-    return F.min_by(F.struct(*fields), F.when(condition, F.col(month)))
+def _place(history: DataFrame, month: str) -> Column:
+    """Order of a loan's rows: month, then status, then a hash of the whole row, so repeats have a fixed order."""
+    return F.struct(month, *[c for c in ("delq_sts",) if c in history.columns], row_hash(history).alias("_h"))
+
+
+def _first(condition: Column, fields: Sequence[str], month: str, history: DataFrame) -> Column:
+    return F.min_by(F.struct(*fields), F.when(condition, _place(history, month)))
 
 
 def first_delinquency(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
@@ -69,7 +75,7 @@ def first_delinquency(history: DataFrame, key: str = "id_loan", month: str = "pe
     fields = [month, "curr_act_upb", "prior_upb", "orig_upb"]
     buckets = schema.FIRST_DELINQUENCY_BUCKETS
     per_loan = history.groupBy(key).agg(*[
-        _first(F.col("delq_sts_new") == str(b), fields, month).alias(f"b{b}") for b in buckets
+        _first(F.col("delq_sts_new") == str(b), fields, month, history).alias(f"b{b}") for b in buckets
     ])
     long = F.explode(F.array(*[
         F.struct(F.lit(b).alias("bucket"), F.col(f"b{b}").alias("r")) for b in buckets
@@ -85,7 +91,8 @@ def first_delinquency(history: DataFrame, key: str = "id_loan", month: str = "pe
 def pre_d180_default(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
     """First bucket-6 month or earlier default per loan."""
     fields = [month, "curr_act_upb", "prior_upb", "orig_upb", "delq_sts", "cd_zero_bal"]
-    first = history.filter(is_pre_d180()).groupBy(key).agg(F.min_by(F.struct(*fields), month).alias("r"))
+    first = history.filter(is_pre_d180()).groupBy(key).agg(
+        F.min_by(F.struct(*fields), _place(history, month)).alias("r"))
     return first.select(key, "r.*").select(
         key, month, "delq_sts", "cd_zero_bal", F.lit(1).alias("pd_d180_ind"),
         balance("curr_act_upb", "prior_upb").alias("pd_d180_upb"),
@@ -96,7 +103,7 @@ def first_modification(history: DataFrame, key: str = "id_loan", month: str = "p
     """First month with a current modification per loan, with its balance."""
     fields = [month, "curr_act_upb", "prior_upb", "orig_upb"]
     first = history.filter(F.col("flag_mod") == "Y").groupBy(key).agg(
-        F.min_by(F.struct(*fields), month).alias("r")
+        F.min_by(F.struct(*fields), _place(history, month)).alias("r")
     )
     return first.select(key, "r.*").select(
         key, month, F.lit(1).alias("mod_ind"), balance("curr_act_upb", "prior_upb").alias("mod_upb")
@@ -119,7 +126,7 @@ def _terminal_columns() -> dict[str, Column]:
 def terminal_record(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
     """Last row of every loan with its default balance, transition texts and rate."""
     fields = [c for c in history.columns if c not in (key, month)]
-    last = history.groupBy(key).agg(F.max_by(F.struct(month, *fields), month).alias("r"))
+    last = history.groupBy(key).agg(F.max_by(F.struct(month, *fields), _place(history, month)).alias("r"))
     return last.select(key, "r.*").withColumns(_terminal_columns())
 
 
@@ -180,8 +187,8 @@ def loan_master(performance: DataFrame, origination: DataFrame, distinct: bool =
         "d180": is_pre_d180(),
     }
     per_loan = history.groupBy("id_loan").agg(
-        F.max_by(F.struct(*last), month).alias("f"),
-        *[_first(c, [month, *fields], month).alias(n) for n, c in firsts.items()],
+        F.max_by(F.struct(*last), _place(history, month)).alias("f"),
+        *[_first(c, [month, *fields], month, history).alias(n) for n, c in firsts.items()],
     )
     joined = origination.join(per_loan, "id_loan", "left")
 

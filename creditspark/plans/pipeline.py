@@ -20,7 +20,7 @@ from creditspark.models import explain, scenarios, sicr, training
 from creditspark.models.preprocessing import fit_levels
 from creditspark.operators import curves, history, sampling, transitions, validation
 from creditspark.plans import loans
-from creditspark.sources import read_origination, read_performance, read_table, write_csv, write_table
+from creditspark.sources import read_csv_table, read_origination, read_performance, read_table, write_csv, write_table
 
 
 @dataclass
@@ -44,16 +44,19 @@ class Store:
         return read_table(self.spark, path)
 
     def result(self, name: str, df: DataFrame) -> DataFrame:
+        """The stored table, so that no action computes it again."""
         path = f"{self.root}/tables/{name}"
         if not (self.reuse and self._exists(path)):
             write_csv(df, path)
             self.written.append(path)
-        return df
+        return read_csv_table(self.spark, path, df.schema)
 
     def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
-        path = f"{self.root}/models/{name}"
-        if not (self.reuse and self._exists(f"{path}/metadata")):
-            training.save_model(fit(), path)
+        """A model counts as stored once its marker, written after all its stages, is there."""
+        path, marker = f"{self.root}/models/{name}", f"{self.root}/models/{name}-stored"
+        if not (self.reuse and self._exists(marker)):
+            training.save_model(fit(), path, overwrite=self.reuse)
+            write_csv(self.spark.createDataFrame([(name,)], "model string"), marker)
             self.written.append(path)
         return training.load_model(path)
 
@@ -122,8 +125,9 @@ def run(
         scored.filter(F.col("split") == "test"), "label", "pd", ["model"])
     moved = store.table("stage_moves", lambda: transitions.transition_counts(
         history.stage_after(panel, 3, "stage_q3"), "stage_q3", F.year(schema.MONTH)), partition_by=())
-    results["transition_matrix_observed"] = transitions.pivot_matrix(
-        transitions.stage_matrix(moved, "stage_q3"), "ifrs9_stage", "stage_q3", "prob")
+    matrix = transitions.stage_matrix(moved, "stage_q3")
+    results["transition_matrix_observed"] = transitions.pivot_matrix(matrix, "ifrs9_stage", "stage_q3", "prob")
+    results["transition_key_rates"] = transitions.key_rates(matrix, "stage_q3")
     results["cure_rates"] = transitions.cure_rate_yearly(moved, "stage_q3", F.col("year"))
     results["stage_psi"] = transitions.stage_psi(moved)
     results["lifetime_pd_backtest_by_vintage"] = curves.lifetime_backtest(panel, curve, least=least_backtest)
@@ -137,5 +141,9 @@ def run(
         trees = f"{out_root}/models/gbt_trees"
         results["importancia_shap"] = explain.shap_importance(
             explain.shap_values(models["gbt"], sample, trees), names)
+        ends = explain.extreme_loans(training.score(models["gbt"], sample), keys)
+        chosen = sample.join(F.broadcast(ends.select("which", *keys)), keys)  # two rows
+        results["explicacion_prestamos"] = explain.contribution_rows(
+            explain.shap_values(models["gbt"], chosen, trees, keep=["which", *keys]), names, ["which", *keys])
 
     return {name: store.result(name, df) for name, df in results.items()}

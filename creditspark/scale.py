@@ -14,7 +14,7 @@ Session settings:
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -25,8 +25,7 @@ SMALL_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
 CHUNK_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
-RANGES = 512
-CELLS = 4096
+CELL_BITS = 12
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -46,9 +45,20 @@ def is_small(df: DataFrame) -> bool:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="creditspark-")
+    """A folder of this application under the cluster's shared checkpoint folder, removed when the session ends.
+
+    Without such a setting only a local master, where driver and tasks share one disk, has a folder.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    path = f"{root.rstrip('/')}/creditspark-{context.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -97,6 +107,11 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return cut(df.groupBy(key).count().filter(F.col("count") > limit).select(key))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A number of the whole row: rows that differ have a fixed order whatever the layout."""
+    return F.xxhash64(*sorted(df.columns))
+
+
 def entity_windows(
     df: DataFrame,
     key: str,
@@ -111,8 +126,8 @@ def entity_windows(
     """Add window columns per `key`, ordered by `order`, that look at most `behind`
     rows back and `ahead` rows forward.
 
-    `ties` settle the order of repeated (key, order) rows; they are flag or code
-    columns with few values.  Hot keys are found by
+    `ties` settle the order of repeated (key, order) rows, and a hash of the whole row what
+    they leave open; ties are flag or code columns with few values.  Hot keys are found by
     counting `skew_from` (default: `df`; pass the narrow source table when `df` is
     the result of a join).  A hot key is cut into chunks of consecutive rows, each
     with the neighbouring rows it looks at, so no task holds the whole key.  With
@@ -121,7 +136,7 @@ def entity_windows(
     def plain(part: DataFrame) -> DataFrame:
         if distinct:
             part = part.repartition(key).distinct()
-        return part.withColumns(columns(Window.partitionBy(key).orderBy(order, *ties)))
+        return part.withColumns(columns(Window.partitionBy(key).orderBy(order, *ties, row_hash(part))))
 
     source = df if skew_from is None else skew_from
     if is_small(source):
@@ -143,17 +158,21 @@ def entity_windows(
 
 def _chunked_windows(df, key, order, columns, behind, ahead, ties):
     size = max(_setting(df, "chunkRows", CHUNK_ROWS), behind, ahead)
-    # Position of every row in its key = rows in earlier cells + place in its cell.
-    # The cell number spreads repeats of one (key, order); it is fixed by the checkpoint.
-    cells = cut(df.withColumn("_cell", F.spark_partition_id() % CELLS))
-    ranked = [order, *ties, "_cell"]
-    counts = cells.groupBy(key, *ranked).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy(*ranked).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = Window.partitionBy(key, *ranked).orderBy(F.xxhash64(*df.columns))
+    # Position of every row in its key = rows in earlier (order, ties) + rows in earlier cells + place in its cell.
+    # The cell is the high end of the row's hash, so it spreads repeats of one (key, order) and keeps their order.
+    names = df.columns
+    cells = cut(df.withColumn("_hash", row_hash(df)).withColumn("_cell", F.shiftright("_hash", 64 - CELL_BITS)))
+    ranked = [order, *ties]
+    counts = cut(cells.groupBy(key, *ranked, "_cell").agg(F.count(F.lit(1)).alias("_n")))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_rank = counts.groupBy(key, *ranked).agg(F.sum("_n").alias("_n")).withColumn(
+        "_before", earlier(Window.partitionBy(key).orderBy(*ranked))).drop("_n")
+    starts = counts.withColumn("_start", earlier(Window.partitionBy(key, *ranked).orderBy("_cell"))).drop("_n")
+    starts = join_on(starts, by_rank, [key, *ranked])
+    place = Window.partitionBy(key, *ranked, "_cell").orderBy("_hash", *names)
     placed = join_on(
-        cells.withColumn("_place", F.row_number().over(place)), starts, [key, *ranked]
-    ).withColumn("_pos", F.col("_start") + F.col("_place") - 1)
+        cells.withColumn("_place", F.row_number().over(place)), starts, [key, *ranked, "_cell"]
+    ).withColumn("_pos", F.col("_before") + F.col("_start") + F.col("_place") - 1)
 
     own = F.floor(F.col("_pos") / size)
     offset = F.col("_pos") % size
@@ -169,7 +188,7 @@ def _chunked_windows(df, key, order, columns, behind, ahead, ties):
     return (
         spread_rows.withColumns(columns(chunk))
         .filter(F.col("_chunk") == F.col("_own"))
-        .drop("_cell", "_start", "_place", "_pos", "_own", "_chunk")
+        .drop("_hash", "_cell", "_before", "_start", "_place", "_pos", "_own", "_chunk")
     )
 
 
@@ -202,12 +221,8 @@ def running_totals(
         )
 
     df = cut(df)
-    edges = df.groupBy(*groups).agg(
-        F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("_edges")
-    )
-    ranged = attach(df, cut(edges), groups).withColumn(
-        "_range", F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    ).drop("_edges")
+    ranges = -(-df.count() // _setting(df, "chunkRows", CHUNK_ROWS))  # as many rows in each, however many there are
+    ranged = cut(df.repartitionByRange(max(int(ranges), 1), *groups, order).withColumn("_range", F.spark_partition_id()))
     per_range = ranged.groupBy(*groups, "_range").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     group = Window.partitionBy(*groups)
     before = group.orderBy(*ordered("_range")).rowsBetween(Window.unboundedPreceding, -1)

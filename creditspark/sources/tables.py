@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from creditspark import schema
 from creditspark.functions.cleaning import normalize_columns, select_present
@@ -23,14 +24,17 @@ def write_table(
 ) -> None:
     """Write to a new path.  Fails if it exists, so an input is never overwritten.
 
-    Rows of one partition value stay spread over the tasks that hold them; `sort_by`
-    sorts inside each file, which gives tight row-group ranges for loan look-ups.
+    Rows of one partition value are brought together before the write, in pieces of the session's
+    advisory size, so that a large value is spread over many tasks and a small one makes one file;
+    `sort_by` sorts inside each file, which gives tight row-group ranges for loan look-ups.
     """
     if compact_numbers:
         df = df.withColumns({
             c: F.col(c).cast("float") for c, t in df.dtypes if t == "double"
         })
     present = [c for c in partition_by if c in df.columns]
+    if present:
+        df = df.hint("rebalance", *present)
     if sort_by:
         df = df.sortWithinPartitions(*present, *sort_by)
     writer = df.write.mode("errorifexists")
@@ -42,6 +46,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def read_csv_table(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Result table with a declared DDL schema."""
+def read_csv_table(spark: SparkSession, path: str, columns: str | StructType) -> DataFrame:
+    """Result table with a declared schema."""
     return spark.read.schema(columns).option("header", True).csv(path)

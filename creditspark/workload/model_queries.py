@@ -17,23 +17,46 @@ from creditspark.workload.cleaning_queries import ID, LOAN_MONTH
 from creditspark.workload.registry import query
 
 FEATURES = schema.ORIGINATION_FEATURES + schema.BEHAVIOUR_FEATURES
-# Tree counts of the registered fits; the library defaults are the full ones.
-FAST = {"logistic": {}, "gbt": {"maxIter": 10}, "random_forest": {"numTrees": 20, "maxDepth": 6}}
+#: Training rows of the registered tree fits at most, an exact sample by key; parameters are the library's defaults.
+TREE_ROWS = 30_000
+OPTIONS = {k: {"max_rows": TREE_ROWS, "keys": ID} for k in ("gbt", "random_forest")} | {"logistic": {}}
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark, sf, name, make):
+    """A stored table or a fit that several queries of a session share."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget():
+    """Fit anew from here on."""
+    _kept.clear()
 
 
 def rows(spark, sf):
-    """The modelling table, written once and read back by part."""
-    path = f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}"
-    split = model_rows(t.dataset(spark, sf, with_macro=False)).filter(F.col("split").isNotNull())
-    write_table(split, path, partition_by=["split"])
-    return read_table(spark, path)
+    """The modelling table, written once per session and read back by part."""
+    def make():
+        path = f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}"
+        split = model_rows(t.dataset(spark, sf, with_macro=False)).filter(F.col("split").isNotNull())
+        write_table(split, path, partition_by=["split"])
+        return path
+
+    return read_table(spark, _once(spark, sf, "rows", make))
 
 
-def parts(spark, sf, data=None):
-    data = data or rows(spark, sf)
+def parts(spark, sf):
+    data = rows(spark, sf)
     return [data.filter(F.col("split") == s) for s in ("train", "validation", "test")]
 
 
+def fitted(spark, sf, kind):
+    train, validation, _test = parts(spark, sf)
+    return _once(spark, sf, kind, lambda: training.fit_calibrated(train, validation, FEATURES, kind, **OPTIONS[kind]))
+
+
 IMPUTED = ["credit_score", "original_ltv", "original_dti", "estimated_loan_to_value_eltv", "dpd_numerico"]
 TRAIN = "(SELECT * FROM panel WHERE vintage_year BETWEEN 2016 AND 2020)"
 
@@ -76,9 +99,8 @@ def _(spark, sf):
 
 def _fit_and_score(kind):
     def run(spark, sf):
-        train, validation, test = parts(spark, sf)
-        model = training.fit_calibrated(train, validation, FEATURES, kind, **FAST[kind])
-        return training.score(model, test, raw="pd_raw").select(*ID, "label", "pd_raw", "pd")
+        model = fitted(spark, sf, kind)
+        return training.score(model, parts(spark, sf)[2], raw="pd_raw").select(*ID, "label", "pd_raw", "pd")
 
     return run
 
@@ -90,18 +112,16 @@ query("train_random_forest")(_fit_and_score("random_forest"))
 
 @query("score_calibrated")
 def _(spark, sf):
-    data = rows(spark, sf)
-    train, validation, _test = parts(spark, sf, data)
-    model = training.fit_calibrated(train, validation, FEATURES, "logistic")
     path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
-    training.save_model(model, path)
-    scored = training.score(training.load_model(path), data)
+    training.save_model(fitted(spark, sf, "logistic"), path)
+    scored = training.score(training.load_model(path), rows(spark, sf))
     return scored.select(*ID, "split", "label", "pd")
 
 
 @query("train_evaluate")
 def _(spark, sf):
-    return training.train_evaluate(rows(spark, sf), FEATURES, options=FAST)[1]
+    models = {k: fitted(spark, sf, k) for k in training.KINDS}
+    return training.comparison(training.scored_parts(models, rows(spark, sf), FEATURES))
 
 
 @query("origination_pd")
@@ -111,26 +131,58 @@ def _(spark, sf):
         *ID, "split", "pd_origination")
 
 
-def _boosted(spark, sf):
-    train, validation, test = parts(spark, sf)
-    return training.fit_calibrated(train, validation, FEATURES, "gbt", **FAST["gbt"]), test
-
-
-def _explained(spark, sf, n=1000):
-    model, test = _boosted(spark, sf)
-    sample = sampling.stratified_sample(test, n, ID, ["label"])
-    path = f"{scratch_dir(spark)}/trees-{uuid.uuid4().hex}"
-    return model, sample, path
+def _explained(spark, sf, n=5_000):
+    sample = sampling.stratified_sample(parts(spark, sf)[2], n, ID, ["label"])
+    return fitted(spark, sf, "gbt"), sample, f"{scratch_dir(spark)}/trees-{uuid.uuid4().hex}"
 
 
 @query("gain_importance")
 def _(spark, sf):
-    return explain.gain_importance(_boosted(spark, sf)[0])
+    return explain.gain_importance(fitted(spark, sf, "gbt"))
 
 
 @query("top_features")
 def _(spark, sf):
-    return explain.top_features(explain.gain_importance(_boosted(spark, sf)[0]), "gain")
+    return explain.top_features(explain.gain_importance(fitted(spark, sf, "gbt")), "gain")
+
+
+# The same tables on given values, so that they have SQL: scores by given coefficients, contributions, their order.
+GIVEN = {"credit_score": -0.01, "original_ltv": 0.02, "original_dti": 0.015, "original_interest_rate": 0.3}
+_MEANS = ", ".join(f"avg({c}) AS m_{c}" for c in GIVEN)
+_PARTS = ", ".join(f"{w} * (coalesce(o.{c}, m_{c}) - m_{c}) AS {c}" for c, w in GIVEN.items())
+LINEAR = f"SELECT o.loan_sequence_number, {_PARTS} FROM orig o, (SELECT {_MEANS} FROM orig) m"
+LINEAR_LONG = "\nUNION ALL ".join(f"SELECT loan_sequence_number, '{c}' AS variable, {c} AS contribution FROM linear" for c in GIVEN)
+
+
+def _linear(spark, sf):
+    loans = t.origination(spark, sf).select("loan_sequence_number", *GIVEN)
+    means = loans.agg(*[F.avg(c).alias(c) for c in GIVEN]).first()
+    return loans.select("loan_sequence_number", F.array(*[
+        F.lit(w) * (F.coalesce(F.col(c).cast("double"), F.lit(means[c])) - F.lit(means[c])) for c, w in GIVEN.items()]).alias("shap"))
+
+
+@query("given_importance", """
+SELECT variable, round(avg(abs(contribution)), 6) AS mean_abs_shap FROM linear_long GROUP BY 1
+ORDER BY avg(abs(contribution)) DESC, variable LIMIT 3""", linear=LINEAR, linear_long=LINEAR_LONG)
+def _(spark, sf):
+    table = explain.shap_importance(_linear(spark, sf), list(GIVEN))
+    return explain.top_features(table, "mean_abs_shap", 3).withColumn("mean_abs_shap", F.round("mean_abs_shap", 6))
+
+
+@query("given_explanation", f"""
+SELECT which, l.loan_sequence_number, variable, round(contribution, 6) AS contribution
+FROM linear_long l JOIN (
+  SELECT 'highest' AS which, arg_max(loan_sequence_number, (s, loan_sequence_number)) AS loan_sequence_number FROM totals UNION ALL
+  SELECT 'lowest', arg_min(loan_sequence_number, (s, loan_sequence_number)) FROM totals) e USING (loan_sequence_number)""",
+       linear=LINEAR, linear_long=LINEAR_LONG,
+       totals=f"SELECT loan_sequence_number, round({' + '.join(GIVEN)}, 9) AS s FROM linear")
+def _(spark, sf):
+    rows = _linear(spark, sf)
+    total = rows.withColumn("pd", F.round(sum(F.col("shap")[i] for i in range(len(GIVEN))), 9))
+    ends = explain.extreme_loans(total, ["loan_sequence_number"])
+    chosen = rows.join(F.broadcast(ends.select("which", "loan_sequence_number")), "loan_sequence_number")
+    out = explain.contribution_rows(chosen, list(GIVEN), ["which", "loan_sequence_number"])
+    return out.withColumn("contribution", F.round("contribution", 6))
 
 
 @query("shap_importance")

@@ -288,11 +288,7 @@ def _(spark, sf):
 
 @query("stack_tables", MIX_SQL.replace("count(*) AS n, ", ""))
 def _(spark, sf):
-    parts = [summaries.portfolio_mix(t.origination(spark, sf), [c]) for c in MIX]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked.drop("n")
+    return summaries.portfolio_mix(t.origination(spark, sf), MIX).drop("n")
 
 
 @query("dpd_histogram", """
@@ -379,16 +375,21 @@ def _(spark, sf):
     return _rounded(summaries.dpd_percentiles_monthly(t.staged(spark, sf)), "p25", "p50", "p75", "p95")
 
 
-REPORTED = ["dpd_numerico", "current_loan_delinquency_status", "zero_balance_code", "modification_flag",
-            "estimated_loan_to_value_eltv", "net_sale_proceeds", "credit_score", "loan_purpose", "vintage_year",
-            "loan_age"]
+REPORTED = [
+    "loan_sequence_number", "monthly_reporting_period", "current_actual_upb", "current_loan_delinquency_status", "loan_age",
+    "modification_flag", "payment_deferral_flag", "zero_balance_code", "current_interest_rate",
+    "estimated_loan_to_value_eltv", "net_sale_proceeds", "credit_score", "first_payment_date", "number_of_units",
+    "number_of_borrowers", "original_ltv", "original_cltv", "original_dti", "original_upb", "original_interest_rate",
+    "original_loan_term", "occupancy_status", "channel", "loan_purpose", "property_type", "amortization_type",
+    "postal_code3_trunc", "vintage_year", "dpd_numerico", "evento_default", "ifrs9_stage",
+]
 
 
 @query("null_report", "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null, "
     f"(count(*) - count({c})) * CAST(100 AS DOUBLE) / count(*) AS pct_null FROM staged_rows" for c in REPORTED))
 def _(spark, sf):
-    return summaries.null_report(history.default_columns(t.panel(spark, sf)).select(*REPORTED))
+    return summaries.null_report(history.default_columns(t.panel(spark, sf)))
 
 
 @query("unique_loans_by_vintage", """
@@ -412,14 +413,19 @@ def _(spark, sf):
     return _rounded(summaries.feature_correlation(t.dataset(spark, sf, with_macro=False), CORRELATED), "corr")
 
 
-@query("default_by_quantile", """
-SELECT greatest(1, len(list_filter(list_distinct(e), lambda z: z < credit_score))) - 1 AS decile,
-  avg(default_12m) AS default_rate, count(*) AS n, min(credit_score) AS value_min, max(credit_score) AS value_max
-FROM (SELECT *, (SELECT quantile_cont(credit_score, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) FROM dataset) AS e
-  FROM dataset WHERE credit_score IS NOT NULL) GROUP BY 1""")
-def _(spark, sf):
-    out = summaries.default_by_quantile(summaries.active(t.labelled(spark, sf)), "credit_score")
-    return out.withColumn("decile", F.col("decile").cast("long"))
+def _by_quantile(name, column):
+    @query(name, f"""
+SELECT greatest(1, len(list_filter(list_distinct(e), lambda z: z < {column}))) - 1 AS decile,
+  avg(default_12m) AS default_rate, count(*) AS n, min({column}) AS value_min, max({column}) AS value_max
+FROM (SELECT *, (SELECT quantile_cont({column}, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) FROM dataset) AS e
+  FROM dataset WHERE {column} IS NOT NULL) GROUP BY 1""")
+    def _(spark, sf):
+        out = summaries.default_by_quantile(summaries.active(t.labelled(spark, sf)), column)
+        return out.withColumn("decile", F.col("decile").cast("long"))
+
+
+_by_quantile("default_by_quantile", "credit_score")
+_by_quantile("default_by_quantile_ltv", "original_ltv")
 
 
 @query("loan_summary", """
@@ -534,12 +540,9 @@ def _(spark, sf):
     f"SELECT loan_sequence_number, vintage_year FROM perf_fx WHERE vintage_year = {y}"
     for y in (2016, 2017, 2018, 2019, 2020, 2022, 2023, 2024)))
 def _(spark, sf):
-    rows = t.raw_performance(spark, sf).select("loan_sequence_number", "vintage_year")
     years = [*schema.TRAIN_VINTAGES, *schema.VALIDATION_VINTAGES, *schema.TEST_VINTAGES]
-    out = rows.filter(F.col("vintage_year") == years[0])
-    for y in years[1:]:
-        out = out.unionByName(rows.filter(F.col("vintage_year") == y))
-    return out
+    rows = t.raw_performance(spark, sf).select("loan_sequence_number", "vintage_year")
+    return rows.filter(F.col("vintage_year").isin(years))  # the vintages are partitions of one table: one read
 
 
 TRANSPOSED = [("count", "count({c})"), ("mean", "round(avg({c}), 6)"), ("min", "min({c})"), ("max", "max({c})")]

@@ -132,3 +132,40 @@ def test_whole_run(spark, tmp_path):
     keys = ["loan_sequence_number", "monthly_reporting_period", "default_12m", "ifrs9_stage"]
     assert panel.select(*keys).exceptAll(tables.labelled(spark, SF).select(*keys)).isEmpty()
     assert training.load_model(f"{out}/models/gbt") is not None
+    # A second run with reuse fits and writes nothing again and gives the same tables.
+    rates, loans = results["transition_key_rates"].collect(), results["explicacion_prestamos"].count()
+    assert len(rates) == 1 and loans > 0
+
+    def no_fit(*args, **kwargs):
+        raise AssertionError("a stored model was fitted again")
+
+    kept = training.fit_calibrated
+    training.fit_calibrated = no_fit
+    try:
+        again = pipeline.run(spark, root, out, reuse=True, **arguments)
+    finally:
+        training.fit_calibrated = kept
+    for name, df in again.items():
+        assert df.columns == results[name].columns and df.count() == results[name].count()
+
+
+# --- one read per table -----------------------------------------------------
+
+
+def scans(plan):
+    return plan.count("FileScan") + plan.count("Scan parquet")
+
+
+def test_unions_of_one_table_read_it_once(spark):
+    for name in ("union_vintages", "stack_tables"):
+        assert executed(contract.queries()[name](spark, SF)).count("Location") == 1
+
+
+def test_no_scratch_folder_off_local_mode(monkeypatch):
+    from types import SimpleNamespace
+
+    from creditspark import scale
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn"), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        scale.scratch_dir(cluster)

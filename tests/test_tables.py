@@ -185,3 +185,24 @@ def test_sinks_never_overwrite(spark, tmp_path):
     assert dict(read_table(spark, str(tmp_path / "f")).dtypes)["v"] == "float"
     write_csv(df, str(tmp_path / "c"))
     assert tuple(read_csv_table(spark, str(tmp_path / "c"), "loan string, vintage_year int, v double").first()) == ("A", 2016, 1.5)
+
+
+def test_many_levels_are_encoded_by_a_join(spark, monkeypatch):
+    from creditspark.models import preprocessing
+
+    n = 20_000
+    df = spark.range(n).selectExpr("lpad(cast(id AS string), 6, '0') AS a", "cast(id % 3 AS string) AS b").unionByName(
+        spark.createDataFrame([(None, None)], "a string, b string"))
+    out = preprocessing.encode_levels(df, ["a", "b"])
+    assert out.columns == ["a", "b"]
+    assert out.agg(F.min("a"), F.max("a"), F.countDistinct("a")).first()[:] == (-1, n - 1, n + 1)
+    assert sorted(r.b for r in out.select("b").distinct().collect()) == [-1, 0, 1, 2]
+    few = preprocessing.encode_levels(df.where("a < '000050'"), ["a"], preprocessing.fit_levels(df, ["a"]))
+    assert sorted(r.a for r in few.collect()) == list(range(50))
+
+
+def test_many_tasks_write_few_files(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id", "cast(2016 + id % 4 AS int) AS vintage_year").repartition(40)
+    write_table(df, str(tmp_path / "t"))
+    files = [p for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) <= 8 and spark.read.parquet(str(tmp_path / "t")).count() == 2000

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditspark.operators import history
+from creditspark.operators.history import lag_features
 from creditspark.plans import loan_master as lm
+from creditspark.scale import entity_windows, row_hash
 
 
 def rows_of(loan, months, events):
@@ -168,3 +170,29 @@ def test_repeated_rows_are_dropped_once(spark, large):
     key = lambda df: sorted(map(str, df.collect()))
     assert key(once) == key(twice) and once.count() == 27
     assert twice.filter(F.col("prior_period").isNull()).count() == 1
+
+
+def test_order_of_repeated_months_does_not_depend_on_the_layout(spark):
+    rows = [("L1", 202001 + i // 3, float(10 * (i * 7 % 11)), 3.0, "0", None) for i in range(12)]
+    names = "id_loan string, period int, curr_act_upb double, cur_int_rt double, delq_sts string, flag_mod string"
+    seen = set()
+    for seed in range(4):
+        shuffled = rows[:]
+        random.Random(seed).shuffle(shuffled)
+        out = lag_features(spark.createDataFrame(shuffled, names).repartition(seed + 1))
+        seen.add(tuple(sorted((r.period, r.curr_act_upb, r.prior_upb) for r in out.collect())))
+    assert len(seen) == 1
+
+
+def test_one_hot_loan_in_one_month_is_spread(spark, large):
+    """Repeats of one month of one loan, after a join, fall into many cells and chunks."""
+    n = 400
+    left = spark.range(n).selectExpr("'L1' AS k", "1 AS m", "id AS v")
+    df = left.join(spark.createDataFrame([("L1", 5)], "k string, w int"), "k")
+    out = entity_windows(df, "k", "m", lambda w: {"back": F.lag("v", 1).over(w), "next": F.lead("v", 1).over(w)}, behind=1, ahead=1)
+    rows = out.collect()
+    assert len(rows) == n and sum(r.back is None for r in rows) == 1 and sum(r.next is None for r in rows) == 1
+    follows = {r.v: r.next for r in rows}
+    assert all(follows[r.back] == r.v for r in rows if r.back is not None)
+    cells = df.select(F.shiftright(row_hash(df), 52).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert cells < 13  # the chunk size of this test
