@@ -15,9 +15,12 @@ pair misses all bands with probability 7e-6.
 Links.  Documents with equal shingle sets are one node from the start (pre-aggregated, any number of copies).
 In each bucket every node is compared with one centre, and the pair is judged by the exact
 weighted Jaccard similarity of the two texts.  Classes are the connected components of the links.
-A bucket whose nodes ended in more than one class goes on: nodes outside its largest class become centres,
-1, 2, 4, ... per bucket and round, until every pair of nodes of different classes has been compared.  So no link
-is lost inside a bucket, and copies of one text never expand into pairs.
+A bucket whose nodes ended in more than one class goes on.  In a bucket of at most SMALL nodes, or with
+at most FEW nodes outside its largest class, those outside are compared with all nodes of other classes.  Another one, as documents with one passage in common fill it, is split by every further
+band that its nodes share: similar documents share about ten of the thirty (one alone with a probability of 1e-4 at 0.8, far
+less above), so they meet again, in smaller buckets.  SMALL is four times as large after each split, so splitting ends; what
+is compared in full by then are texts that share several bands, just below the threshold.  Copies of
+one text, and texts that only have a passage in common, never expand into all pairs.
 
 Defined cases: a null text counts as empty; texts without words are in one class exactly if they are equal; rows
 that share a doc_id count as one document, a null doc_id has no partners and class null; extra columns are ignored.
@@ -41,6 +44,8 @@ SIMILARITY = 0.8
 _ONE = np.uint64(1)
 #: Ids up to which a table of ids is broadcast: 8 bytes each.
 BROADCAST_IDS = 500_000
+#: Nodes of a bucket, or nodes outside its largest class, up to which those outside are compared with all others.
+SMALL, FEW = 10, 4
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -147,7 +152,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> Dat
     """Of the pairs (node, centre) those whose texts have a weighted Jaccard similarity of `least` or more."""
     a = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "node").join(b, "centre").select("node", "centre", "text_a", "text_b")
+    both = pairs.join(_merge(a), "node").join(_merge(b), "centre").select("node", "centre", "text_a", "text_b")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -173,6 +178,19 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> Dat
     return both.mapInArrow(judged, f"node {t}, centre {t}").distinct()
 
 
+def _merge(df: DataFrame) -> DataFrame:
+    """For joins in loops: both sides are sorted and merged, no tables pile up on the driver."""
+    return df.hint("merge")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one label and no label hangs on another."""
+    tops = edges.select(F.col("v").alias("t")).distinct()
+    chained = edges.join(_merge(tops), F.col("u") == F.col("t"), "left_semi").select("u")
+    forked = edges.groupBy("u").count().where("count > 1").select("u")
+    return chained.unionByName(forked).limit(1).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, from links (node, centre) of any direction.
 
@@ -182,29 +200,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(
         F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).where("u <> v").distinct())
-    state = _state(edges)
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("w"), F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w"))
+        large = both.where("v > u").join(_merge(least), F.col("u") == F.col("w"))
         large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         below = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"))
-        small = large.join(below, F.col("u") == F.col("w")).select(
+        small = large.join(_merge(below), F.col("u") == F.col("w")).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stored(small.where("u <> v").distinct())
-        before, state = state, _state(edges)
-        if before == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).cast("string")).first())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def _with_label(df: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.withColumnRenamed("node", "_n")
-    return df.join(known, F.col("node") == F.col("_n"), "left").drop("_n").withColumn(
+    return df.join(_merge(known), F.col("node") == F.col("_n"), "left").drop("_n").withColumn(
         "label", F.coalesce("label", "node"))
 
 
@@ -213,32 +224,40 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _links(met: DataFrame, texts: DataFrame, tested: DataFrame, least: float, kind: str) -> DataFrame:
-    """Labels of the nodes in `met` (bucket, node), after `tested` (node, centre) and all further pairs that count."""
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    return stored(pairs.distinct().join(_merge(tested), ["node", "centre"], "left_anti"))
+
+
+def _labels(met: DataFrame, bands: DataFrame, texts: DataFrame, least: float, kind: str) -> DataFrame:
+    """Labels of the nodes that meet in the buckets of `met` (bucket, node, centre)."""
+    tested = stored(met.where("node <> centre").select("node", "centre").distinct())
     links = stored(_similar(tested, texts, least, kind))
-    done, per_bucket = None, 1
+    labels = components(links)
+    met, limit = met.select("bucket", "node"), SMALL
     while True:
-        labels = components(links)
         placed = stored(_with_label(met, labels))
         open_ = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(
-            F.max(F.struct("count", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = stored(open_.select("bucket", "main"))
-        minor = placed.join(open_, "bucket").where("label <> main").select("bucket", "node", "label")
-        if done is not None:
-            minor = minor.join(done, ["bucket", "node"], "left_anti")
-        chosen = minor.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(per_bucket)).alias("part")).agg(
-            F.min(F.struct("node", "label")).alias("c"))
-        chosen = stored(chosen.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("of")))
-        if chosen.isEmpty():
+            F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+        open_ = stored(open_.where("labels > 1").select("bucket", F.col("most.label").alias("main"), (
+            (F.col("n") <= limit) | (F.col("n") - F.col("most.count") <= FEW)).alias("small")))
+        small = stored(placed.join(_merge(open_.where("small")), "bucket"))
+        other = stored(small.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("of")))
+        pairs = small.join(_merge(other), "bucket").where("label <> of").select(
+            F.greatest("node", "a").alias("node"), F.least("node", "a").alias("centre"))
+        pairs = _untested(pairs, tested)
+        found = stored(_similar(pairs, texts, least, kind))
+        if not found.isEmpty():
+            links = stored(links.unionByName(found))
+            labels = components(links)
+        large = stored(open_.where("not small").select("bucket"))
+        if large.isEmpty():
             return labels
-        pairs = placed.join(chosen, "bucket").where("label <> of").select(
-            F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")).distinct()
-        pairs = stored(pairs.join(tested, ["node", "centre"], "left_anti"))
-        links = stored(links.unionByName(_similar(pairs, texts, least, kind)))
         tested = stored(tested.unionByName(pairs))
-        now = chosen.select("bucket", F.col("centre").alias("node"))
-        done = stored(now if done is None else done.unionByName(now))
-        per_bucket *= 2
+        # the other buckets are split by each further band that their nodes have in common
+        split = placed.select("bucket", "node").join(_merge(large), "bucket").join(_merge(bands), "node").select(
+            "node", "bucket", F.explode("bands").alias("band")).where("bucket <> band")
+        met = stored(split.select(F.xxhash64("bucket", "band").alias("bucket"), "node"))
+        limit *= 4
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, kind: str = "set") -> DataFrame:
@@ -249,13 +268,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY, kind: str = "set") -> Da
     members = groups.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
     buckets = stored(buckets.where("n > 1").select("bucket", "centre"))
-    met = stored(members.join(buckets, "bucket").select("bucket", "node", "centre"))
+    met = stored(members.join(_merge(buckets), "bucket").select("bucket", "node", "centre"))
     wanted = _few(stored(met.select(F.col("node").alias("_id")).distinct()))
     texts = stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"))
-    tested = stored(met.where("node <> centre").select("node", "centre").distinct())
-    labels = _links(met.select("bucket", "node"), texts, tested, least, kind)
+    labels = _labels(met, groups.select("node", "bands"), texts, least, kind)
     named = stored(_with_label(groups.select("f1", "f2", "node"), labels))
-    out = base.select("doc_id", "f1", "f2").join(named, ["f1", "f2"], "left")
+    out = base.select("doc_id", "f1", "f2").join(_merge(named), ["f1", "f2"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("class_id"))
 
 

@@ -59,7 +59,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents"))
 
 
-@query("op4_minhash_near_dedup")
+CLASSES_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z[:^ascii:]]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE ['raw: ' || text] END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.size, y.size HAVING count(*) >= 0.8 * (x.size + y.size - count(*)) - 1e-9
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+"""
+
+
+@query("op4_minhash_near_dedup", CLASSES_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
