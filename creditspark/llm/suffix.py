@@ -26,7 +26,6 @@ comes before all others; rows that share a doc_id are documents of their own, in
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.llm import words as W
-from creditspark.llm.common import pieces, shared_folder, text_buffer
+from creditspark.llm.common import pieces, stored, text_buffer
 
 LENGTH = 100
 GRAM = 40
 #: Bytes of text whose positions are ranked at once inside a task.
-PART = 2 << 20
-OFTEN, SPREAD = 8, 256
+PART = 1 << 20
+OFTEN, SPREAD = 6, 256
 #: Stretches that a task remembers at most, 24 bytes each; beyond, it forgets and sends more.
 REMEMBERED = 2_000_000
 _U = np.uint64
@@ -348,38 +347,40 @@ def _compared(ends: DataFrame, length: int) -> DataFrame:
 
 
 def _compared_apart(ends: DataFrame, length: int) -> DataFrame:
-    """The same for stretches marked 3: their strings are sorted by name, first ones of a task only."""
+    """The same for stretches marked 3: their strings are put together by name.
+
+    A string that its task has met with an earlier place is a repeat at once; of each name a task sends its earliest strings only.
+    """
     kind = ends.schema["doc_id"].dataType.simpleString()
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 b = batch.slice(start, 4096)
                 row, step, names = _strings(b, length)
                 copy, lo, _ = _unpacked(b.column("at").to_numpy())
                 at = (copy[row] << 40) | ((lo[row] + step) << 8) | 1
+                new = seen.earliest(names, _numbers(b.column("doc_id"))[row], at)
+                runs = _runs(b.column("doc_id"), b.column("at").to_numpy(), row, step, ~new)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.view(np.int64)), b.column("doc_id").take(pa.array(row)), pa.array(at)],
+                    [pa.nulls(runs.num_rows, pa.int64()), runs.column("doc_id"), runs.column("at")], ["name", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[new].view(np.int64)), b.column("doc_id").take(pa.array(row[new])), pa.array(at[new])],
                     ["name", "doc_id", "at"])
 
-    strings = ends.where("mark = 3").mapInArrow(expand, f"name long, doc_id {kind}, at long")
-    first = strings.groupBy("name").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("n"))
-    first = shared(first.where("n > 1").select("name", "f"))
+    strings = stored(ends.where("mark = 3").mapInArrow(expand, f"name long, doc_id {kind}, at long"))
+    first = strings.where("name is not null").groupBy("name").agg(
+        F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.where("n > 1").select("name", "f"))
     both = strings.join(first.hint("merge"), "name").where(~F.struct("doc_id", "at").eqNullSafe(F.col("f")))
-    return both.select("doc_id", "at")
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder and read again: compressed, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/suffix-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return both.select("doc_id", "at").unionByName(strings.where("name is null").select("doc_id", "at"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """`docs` with copy, 0 except among rows that share a doc_id."""
     docs = docs.select("doc_id", "text")
-    twice = shared(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d")))
+    twice = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d")))
     if twice.isEmpty():
         return docs.withColumn("copy", F.lit(0))
     same = F.col("doc_id").eqNullSafe(F.col("_d"))
@@ -392,8 +393,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and at: the repeated strings of every document of `_numbered`, as runs of starts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _stretches(docs, length).repartition("piece")
-    marks = shared(_marked(rows.sortWithinPartitions("piece", "stretch", "doc_id", F.abs("at")), kind))
-    ends = shared(_ends(docs, marks, length))
+    marks = stored(_marked(rows.sortWithinPartitions("piece", "stretch", "doc_id", F.abs("at")), kind))
+    ends = stored(_ends(docs, marks, length))
     return marks.where("mark = 1").select("doc_id", "at").unionByName(_compared(ends, length)).unionByName(
         _compared_apart(ends, length))
 
