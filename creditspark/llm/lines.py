@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.llm.common import stored
+from creditspark.llm.common import stored, unused
 
 RATIO = 0.1
 LEAST = 5
@@ -48,15 +48,15 @@ def drop_boilerplate(
 ) -> DataFrame:
     """The rows and columns of `docs` with boilerplate lines taken out of `text`."""
     found = stored(boilerplate(docs, host, ratio, least))
-    sets = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_lines"))
+    of, bad, slim = (unused(docs, c) for c in ("_host", "_lines", "_slim"))
+    sets = found.groupBy(F.col("host").alias(of)).agg(F.collect_list("line").alias(bad))
     if found.count() <= BROADCAST_LINES:
         sets = F.broadcast(sets)
-    joined = docs.join(sets, F.col(host).eqNullSafe(F.col("_host")), "left")
+    joined = docs.join(sets, F.col(host).eqNullSafe(F.col(of)), "left")
     kept = F.array_join(F.filter(
-        F.split("text", "\n", -1), lambda x: (F.trim(x) == "") | ~F.array_contains("_lines", F.xxhash64(x))), "\n")
-    slim = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_slim", slim)
-    text = F.when(F.length("_slim") < F.length("text") * (1.0 - most), F.col("text")).otherwise(F.col("_slim"))
+        F.split("text", "\n", -1), lambda x: (F.trim(x) == "") | ~F.array_contains(bad, F.xxhash64(x))), "\n")
+    out = joined.withColumn(slim, F.when(F.col(bad).isNull(), F.col("text")).otherwise(kept))
+    text = F.when(F.length(slim) < F.length("text") * (1.0 - most), F.col("text")).otherwise(F.col(slim))
     columns = {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(text.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.llm import words as W
-from creditspark.llm.common import pieces, stored
+from creditspark.llm.common import pieces, stored, unused
 
 ROWS, BANDS = 5, 30
 COORDINATES = ROWS * BANDS
@@ -280,11 +280,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY, kind: str = "set") -> Da
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class, that with the smallest doc_id, all columns; rows without a doc_id stay."""
     found = stored(classes(docs, least))
-    gone = _few(stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = stored(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1"))
-    if twice.isEmpty():
+    gone, twice = unused(docs, "_gone"), unused(docs, "_twice")
+    ids = _few(stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct()))
+    kept = docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
+    ids = stored(found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice))
+    if ids.isEmpty():
         return kept
-    again = F.col("doc_id") == F.col("_twice")
-    return kept.join(twice, again, "left_anti").unionByName(
-        kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = F.col("doc_id") == F.col(twice)
+    return kept.join(ids, again, "left_anti").unionByName(kept.join(ids, again, "left_semi").dropDuplicates(["doc_id"]))
