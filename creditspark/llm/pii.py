@@ -14,6 +14,9 @@ same entity the same one in every document and spelling (case of addresses, sepa
 numbers), with no table of entities.  `collisions` checks exactly that over all documents; `protect` runs it first and
 refuses to go on if it finds one.
 
+A row of digit groups is a card if its check digit is valid; otherwise the cards inside it are looked for, in one group or in
+the groups that cards are printed in (any borders would make cards of most lists of numbers).
+
 Defined cases: a null text stays null, an empty one empty; texts without entities pass unchanged; repeated rows are handled
 each; extra columns are kept; an entity does not extend over a line end.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -64,6 +68,12 @@ _ENTITY = re.compile(
     r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
     r"|(?<![\w+])\+(?!1\b)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}(?!\d)){1,4})"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\d))")
+#: Digits per group of cards as they are printed; cards in one group are printed too.
+_PRINTED = frozenset([
+    (4, 4, 4, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 4, 5),
+    (4, 5, 6), (4, 6, 4), (4, 6, 5), (4, 3, 3, 3), (5, 4, 4), (6, 13), (8, 8)])
+_ROW = re.compile(r"\d+(?:[ -]\d+)*")
+_DIGITS = re.compile(r"\d+")
 _HINT = re.compile(r"[@0-9]|[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY|AKIA")
 _CAPITAL = re.compile(r"\b[A-ZÀ-ÞА-Я]\w+")
 _NAME = re.compile(
@@ -235,15 +245,48 @@ def surrogate(kind: str, text: str, key: str = KEY) -> str:
 # --- texts -------------------------------------------------------------------
 
 
+def _apart(spans: list[tuple], found: list[tuple[int, int, str]]) -> bool:
+    return all(e <= a or s >= b for s, e, *_ in spans for a, b, _ in found)
+
+
+def _cards(line: str, start: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Cards among the digit groups of the row that begins at `start`, the longest first, and the end of the row."""
+    end = _ROW.match(line, start).end()
+    groups = [g.span() for g in _DIGITS.finditer(line, start, end)]
+    valid = []
+    for i, (a, _) in enumerate(groups):
+        sizes: tuple[int, ...] = ()
+        for p, q in groups[i:i + 5]:
+            sizes += (q - p,)
+            if (len(sizes) == 1 or sizes in _PRINTED) and is_card(line[a:q]):
+                valid.append((-sum(sizes), a, q))
+    out: list[tuple[int, int, str]] = []
+    taken: set[int] = set()  # starts of groups that are taken
+    for _, a, q in sorted(valid):
+        own = {p for p, _ in groups[bisect_left(groups, (a,)):bisect_left(groups, (q,))]}
+        if taken.isdisjoint(own):
+            taken |= own
+            out.append((a, q, "card"))
+    return out, end
+
+
 def _spans(line: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the entities of a line, in order, without overlaps."""
-    found = []
+    found, cards = [], []
     if _HINT.search(line):
-        for m in _ENTITY.finditer(line):
-            kind = m.lastgroup
-            if kind == "card" and not is_card(m["card"]):
+        at = row = 0
+        while m := _ENTITY.search(line, at):
+            kind, at = m.lastgroup, m.end()
+            if kind != "card" or m.start() >= row and is_card(m["card"]):
+                found.append((*m.span(kind), kind))
                 continue
-            found.append((*m.span(kind), kind))
+            at = m.start() + 1  # other entities may begin inside
+            if m.start() >= row:
+                more, row = _cards(line, m.start())
+                cards += more
+        if cards:
+            others = list(found)
+            found += [c for c in cards if _apart([c], others)]
     if not _NAME_WORDS.isdisjoint(_CAPITAL.findall(line)):
         for m in _NAME.finditer(line):
             if m["title"]:
@@ -251,7 +294,7 @@ def _spans(line: str) -> list[tuple[int, int, str]]:
             else:
                 parts = [("given", "given"), ("last", "surname")]
             spans = [(*m.span(g), kind) for g, kind in parts if m[g]]
-            if all(e <= a or s >= b for s, e, _ in spans for a, b, _ in found):
+            if _apart(spans, found):
                 found += spans
     return sorted(found)
 

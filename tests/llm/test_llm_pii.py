@@ -86,3 +86,21 @@ def test_nulls_repeats_and_empty(spark):
     out = sorted(((r.doc_id or 0, r.text is None, r.n_entities) for r in P.protect(df).collect()))
     assert out == [(0, False, 0), (1, True, 0), (1, True, 0), (2, False, 1)]
     assert P.protect(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("before,card,after", [
+    ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/26"), ("12 ", "4111 1111 1111 1111", ""),
+    ("12-", "4111-1111-1111-1111", "-123"), ("", "4111111111111111", " 123"), ("7 ", "3782 822463 10005", " 1234"),
+    ("12345 ", "4111 1111 1111 1111", " 99"), ("1 2 3 4 5 6 7 8 9 ", "4111 1111 1111 1111", " 5 6 7"),
+])
+def test_cards_beside_other_numbers(before, card, after):
+    new, made = P.replaced(before + card + after)
+    assert [m[:2] for m in made] == [("card", card)] and P.is_card(made[0][2])
+    assert new == before + made[0][2] + after
+
+
+def test_entities_inside_a_rejected_row_of_digits():
+    new, made = P.replaced("4111 1111 1111 1112 192.168.1.1 and 12 345 269-555-3296, 4111 1111 1111 1111 7 5500 0000 0000 0004 8")
+    assert [m[:2] for m in made] == [("ip", "192.168.1.1"), ("phone", "269-555-3296"), ("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004")]
+    text = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 " * 2000
+    assert P.replaced(text)[0].count(" ") == text.count(" ")
