@@ -6,7 +6,13 @@ names after a title).  Each is replaced by a keyed surrogate of the same type an
 
 * letters stay letters of the same script and case, digits stay digits, marks and length stay; cards keep a
   valid check digit, addresses valid octets, telephone numbers their country code and valid area codes;
-* a known given name becomes one of the same gender and script, a known surname one of the same script.
+* a known given name becomes one of the same gender and script, a known surname one of the same script;
+* a given name or surname found in full is followed: where it stands alone in the same text, before or after, it
+  gets the same surrogate.
+
+Not detected: people whose given name is in no table and who have no title, names in other letters than Latin, Cyrillic
+and Greek, names written without capitals or all in capitals, further parts of a name (initials, second surnames, parts
+after a hyphen), and inflected forms of a name.
 
 The surrogate of an entity is a keyed permutation of all values of its format, a Feistel network, conjugated
 with a shift so that nothing maps to itself.  Being a permutation, it gives different entities different surrogates and the
@@ -41,17 +47,49 @@ KEY = "training-corpus"
 
 #: Given names by script and gender, surnames by script (fixed values of this module).
 GIVEN = {
-    ("latin", "f"): ("Anna", "Maria", "Julia", "Laura", "Sophie", "Claire", "Elena", "Carmen", "Emily", "Sarah", "Hannah", "Camille"),
-    ("latin", "m"): ("John", "Thomas", "Peter", "Michael", "David", "Pierre", "Carlos", "Miguel", "Lukas", "Daniel", "Robert", "Andreas"),
-    ("cyrillic", "f"): ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана"),
-    ("cyrillic", "m"): ("Иван", "Алексей", "Дмитрий", "Сергей", "Андрей", "Михаил", "Николай", "Павел"),
+    ("latin", "f"): tuple((
+        "Anna Maria Julia Laura Sophie Claire Elena Carmen Emily Sarah Hannah Camille Emma Olivia Sophia Isabella Amelia Evelyn "
+        "Abigail Elizabeth Margaret Jennifer Jessica Patricia Linda Barbara Susan Karen Nancy Lisa Sandra Ashley Kimberly Donna "
+        "Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Rachel Catherine Katherine Christine Nicole Samantha Helen Alice "
+        "Julie Martha Megan Lauren Andrea Hanna Lena Lea Mia Clara Johanna Katharina Sabine Petra Monika Ursula Brigitte Ingrid "
+        "Heike Birgit Greta Frieda Marie Louise Juliette Chloé Manon Inès Élodie Aurélie Céline Hélène Françoise Isabelle Nathalie "
+        "Valérie Sylvie Monique Lucía Sofía Martina Paula Daniela Valentina Isabel Pilar Ana Marta Cristina Rosa Raquel Silvia "
+        "Giulia Chiara Francesca Alessia Federica Giovanna Lucia Agnieszka Katarzyna Ewa Zofia Fatima Aisha Leila Priya Yuki").split()),
+    ("latin", "m"): tuple((
+        "John Thomas Peter Michael David Pierre Carlos Miguel Lukas Daniel Robert Andreas James William Richard Joseph Charles "
+        "Christopher Matthew Anthony Steven Stephen Andrew Paul Joshua Kenneth Kevin Brian George Timothy Ronald Edward Jason "
+        "Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Jack "
+        "Henry Oliver Liam Noah Ethan Lucas Nathan Adam Simon Philip Martin Hans Jürgen Klaus Wolfgang Stefan Markus Matthias "
+        "Sebastian Tobias Florian Felix Jonas Maximilian Friedrich Heinrich Karl Jean Jacques François Philippe Alain Nicolas "
+        "Laurent Julien Antoine Olivier Étienne Mathieu Guillaume José Juan Luis Javier Francisco Antonio Manuel Pedro Pablo "
+        "Alejandro Fernando Diego Sergio Rafael Jorge Marco Giuseppe Giovanni Luca Matteo Alessandro Paolo Piotr Krzysztof "
+        "Tomasz Jan Lars Sven Erik Mohammed Ahmed Omar Hassan Ali Raj Wei Hiroshi").split()),
+    ("cyrillic", "f"): tuple((
+        "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Анастасия Юлия Дарья Ксения Полина Александра Людмила "
+        "Галина Валентина Нина Марина Алина Виктория Софья София Оксана Лариса").split()),
+    ("cyrillic", "m"): tuple((
+        "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Павел Александр Владимир Евгений Максим Артём Артем Юрий Виктор Олег "
+        "Игорь Константин Антон Роман Кирилл Никита Василий Борис Григорий Пётр Денис Илья Фёдор").split()),
+    ("greek", "f"): tuple((
+        "Μαρία Ελένη Αικατερίνη Κατερίνα Βασιλική Σοφία Αγγελική Γεωργία Δήμητρα Κωνσταντίνα Παναγιώτα Ιωάννα Άννα Ευαγγελία "
+        "Χριστίνα Αναστασία Ειρήνη").split()),
+    ("greek", "m"): tuple((
+        "Γεώργιος Γιώργος Ιωάννης Γιάννης Κωνσταντίνος Κώστας Δημήτριος Δημήτρης Νικόλαος Νίκος Παναγιώτης Βασίλειος Βασίλης Χρήστος "
+        "Αθανάσιος Θανάσης Μιχαήλ Μιχάλης Ευάγγελος Σπύρος Αντώνης Ανδρέας Παύλος").split()),
 }
 SURNAMES = {
     "latin": ("Smith", "Johnson", "Miller", "Brown", "Schmidt", "Müller", "Weber", "Fischer", "Martin", "Dubois", "Moreau",
               "García", "López", "Fernández", "Rossi", "Novak"),
     "cyrillic": ("Смирнов", "Петров", "Соколов", "Попов", "Лебедев", "Козлов", "Новиков", "Морозов"),
+    "greek": ("Παπαδόπουλος", "Γεωργίου", "Δημητρίου", "Νικολάου", "Ιωάννου", "Βασιλείου", "Οικονόμου", "Αντωνίου"),
 }
-_TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Господин|Госпожа"
+_TITLES = ("Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Signora|Signor|Господин|Госпожа"
+           "|Κύριος|Κύριε|Κυρία")
+#: Words that a title may precede without being a name: they are no names elsewhere in the text.
+_NO_NAMES = frozenset(
+    "The This That These Those There Then They And But For From His Her Its Our Your You Who What When Where Why How Not With "
+    "Will Would Can Could Has Have Had Was Were Are One All Any Some Please Chair Chairman President Speaker Minister "
+    "Die Der Das Und Ein Eine Ich Sie Wir Ist Les Des Une Est Vous Nous Los Las Una Con Por Que Para".split())
 _GIVEN_OF = {n: k for k, names in GIVEN.items() for n in names}
 _SURNAME_OF = {n: k for k, names in SURNAMES.items() for n in names}
 _ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -75,10 +113,11 @@ _PRINTED = frozenset([
 _ROW = re.compile(r"\d+(?:[ -]\d+)*")
 _DIGITS = re.compile(r"\d+")
 _HINT = re.compile(r"[@0-9]|[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY|AKIA")
-_CAPITAL = re.compile(r"\b[A-ZÀ-ÞА-Я]\w+")
+_UPPER = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x530)) if c.isupper())
+_CAPITAL = re.compile(rf"\b[{_UPPER}]\w+")
 _NAME = re.compile(
-    rf"\b(?P<title>{_TITLES})\b\.? +(?P<one>[A-ZÀ-ÞА-Я][^\W\d_]+)(?: +(?P<two>[A-ZÀ-ÞА-Я][^\W\d_]+))?"
-    rf"|\b(?P<given>{'|'.join(_GIVEN_OF)}) +(?P<last>[A-ZÀ-ÞА-Я][^\W\d_]+)")
+    rf"\b(?P<title>{_TITLES})\b\.? +(?P<one>[{_UPPER}][^\W\d_]+)(?: +(?P<two>[{_UPPER}][^\W\d_]+))?"
+    rf"|\b(?P<given>{'|'.join(_GIVEN_OF)}) +(?P<last>[{_UPPER}][^\W\d_]+)")
 _NAME_WORDS = frozenset([*_GIVEN_OF, *_TITLES.split("|")])
 
 
@@ -299,12 +338,25 @@ def _spans(line: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def _with_mentions(line: str, spans: list[tuple[int, int, str]], names: dict[str, str]) -> list[tuple[int, int, str]]:
+    """The entities of a line, and the bare mentions of names that the text has in full somewhere."""
+    more = [(*m.span(), names[m[0]]) for m in _CAPITAL.finditer(line) if m[0] in names]
+    return sorted(spans + [x for x in more if _apart([x], spans)])
+
+
 def replaced(text: str, key: str = KEY) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, entity, surrogate) of each replacement."""
     out, made = [], []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    found = [_spans(line) for line in lines]
+    names: dict[str, str] = {}
+    for line, spans in zip(lines, found):
+        for start, end, kind in spans:
+            if kind in ("given", "surname") and line[start:end] not in _NO_NAMES:
+                names.setdefault(line[start:end], kind)
+    for line, spans in zip(lines, found):
         at, parts = 0, []
-        for start, end, kind in _spans(line):
+        for start, end, kind in _with_mentions(line, spans, names) if names else spans:
             new = surrogate(kind, line[start:end], key)
             made.append((kind, line[start:end], new))
             parts += [line[at:start], new]

@@ -104,3 +104,22 @@ def test_entities_inside_a_rejected_row_of_digits():
     assert [m[:2] for m in made] == [("ip", "192.168.1.1"), ("phone", "269-555-3296"), ("card", "4111 1111 1111 1111"), ("card", "5500 0000 0000 0004")]
     text = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 " * 2000
     assert P.replaced(text)[0].count(" ") == text.count(" ")
+
+
+@pytest.mark.parametrize("text,names", [
+    ("Emma Wilson wrote", ["Emma", "Wilson"]), ("Étienne Žižka wrote", ["Étienne", "Žižka"]), ("Ольга Ёлкина", ["Ольга", "Ёлкина"]),
+    ("ο Γιώργος Παπαδόπουλος είπε", ["Γιώργος", "Παπαδόπουλος"]), ("Κυρία Ζαχαράκη", ["Ζαχαράκη"]), ("Dr. Zweistein", ["Zweistein"]),
+])
+def test_names_of_more_people_and_scripts(text, names):
+    new, made = P.replaced(text)
+    assert [m[1] for m in made] == names and not any(n in new for n in names)
+
+
+def test_bare_mentions_get_the_same_surrogate():
+    new, made = P.replaced("Smith was late.\nJohn Smith came; Smith's hat.\nLater John left, smith@mail.example.com Smithson Johnny Smith2")
+    given, last = P.surrogate("given", "John"), P.surrogate("surname", "Smith")
+    first, second, third = new.split("\n")
+    assert first == f"{last} was late." and second == f"{given} {last} came; {last}'s hat."
+    assert third.startswith(f"Later {given} left, ") and third.endswith(" Smithson Johnny Smith2") and len(made) == 6
+    assert P.replaced("Smith and John")[1] == []  # nobody is named in full
+    assert P.replaced("Never Miss The Show. The end.")[0].endswith(" The end.")
