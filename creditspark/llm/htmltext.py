@@ -3,10 +3,11 @@
 A page is read as a flat row of text blocks: a block ends at every block-level tag.  Each block has its number of words, its
 link density (share of its words inside links), the same of its neighbours, and two
 marks from the tags around it: whether it stands in page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, by tag, role, class or id) and whether it stands
+adverts, forms, comments, by tag, role, class or id; a part of a class name such as sidebar-left does not count on the first article or main
+element and on those around it) and whether it stands
 in an article or main element (1), beside the one of its page (-1), or on a page without (0).  A decision
 tree, fitted on the small table EXAMPLES, tells text from the rest.  Scripts, styles and other elements that show no text make no
-blocks.  Character references are decoded, white space inside a block becomes one space, blocks are joined by an
+blocks; one that is never closed ends at its own tag, a script or style at the next block-level tag.  Character references are decoded, white space inside a block becomes one space, blocks are joined by an
 empty line.  Pages are read in one pass, without a shuffle.
 
 Defined cases: null and empty html give an empty text; equal pages are each extracted; a page that ends inside
@@ -31,20 +32,28 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<dark>script|style|noscript|template|head|title|iframe|object|svg|math|canvas|select|button|textarea|option|datalist)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=dark)\s*>|\Z)"
+    r"|<(?P<dark>script|style|noscript|template|title|iframe|object|svg|math|canvas|select|button|textarea|option|datalist)\b"
+    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
+#: Those of them whose elements hold articles of others.
+_OTHERS = frozenset("comment comments disqus recommended related replies respond".split())
+#: Parts of a class name after which the others tell of something else on the page.
+_WITH = re.compile(r"(?:^|[^a-z])(?:with|without|has|no|not)[^a-z].*")
 
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead tr ul caption".split())
 #: Elements whose extent is followed; the others only end a block.
-_FOLLOWED = _BLOCKS - frozenset("p li dt dd hr h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot html body".split())
+_FOLLOWED = _BLOCKS - frozenset("dt dd hr h1 h2 h3 h4 h5 h6 th tr tbody thead tfoot html head body".split())
+#: Tags that end an element whose end tag may be left out, that element, and the elements up to which it is looked for.
+_ENDED = {"li": ("li", frozenset("ul ol menu".split()))} | {
+    tag: ("td", frozenset(["table"])) for tag in "td th tr tbody thead tfoot".split()}
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCKS, key=len, reverse=True))})(?=[\s/>])", re.I)
 _FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog fieldset search".split())
 _FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar note".split())
@@ -68,12 +77,28 @@ class Text:
     linked: float = 0
 
 
+def _dark_end(page: str, dark: str, at: int, ends: dict[str, int]) -> int:
+    """Where a dark element ends whose tag ends at `at`; `ends` keeps where its kind is closed next, -1 for nowhere."""
+    if ends.get(dark, 0) >= 0:
+        m = re.compile(rf"</{dark}\s*>", re.I).search(page, at)
+        ends[dark] = m.end() if m else -1
+    if ends[dark] >= 0:
+        return ends[dark]
+    if dark not in ("script", "style"):
+        return at  # never closed: it ends at its own tag
+    m = _NEXT_BLOCK.search(page, at)
+    return m.start() if m else len(page)
+
+
 def blocks(page: str) -> list[Text]:
     """The text blocks of a page in order."""
     out: list[Text] = []
-    stack: list[tuple[str, bool, bool]] = []  # followed elements: tag, furniture, article
+    # followed elements: tag, furniture by tag, role or whole class name, by part of one (0 to 2), article
+    stack: list[tuple[str, bool, int, bool]] = []
     here = Text(False, False)
     links = 0
+    wrapped: set[str] = set()  # article and main, once seen
+    ends: dict[str, int] = {}
 
     def finish() -> None:
         nonlocal here
@@ -81,7 +106,7 @@ def blocks(page: str) -> list[Text]:
         if text:
             here.text, here.words = text, text.count(" ") + 1
             out.append(here)
-        here = Text(stack[-1][1], stack[-1][2]) if stack else Text(False, False)
+        here = Text(stack[-1][1] or stack[-1][2] > 0, stack[-1][3]) if stack else Text(False, False)
 
     def add(raw: str) -> None:
         if raw:
@@ -90,17 +115,28 @@ def blocks(page: str) -> list[Text]:
             if links:
                 here.linked += len(text.split())
 
+    def end(tag: str, limits: frozenset[str] = frozenset()) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == tag:
+                del stack[i:]
+                return
+            if stack[i][0] in limits:
+                return
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
         if m["raw"] is not None:
             here.parts.append(m["raw"])
             continue
+        if m["dark"]:
+            at = _dark_end(page, m["dark"].lower(), at, ends)
+            if m["dark"].lower() == "title":
+                finish()
+            continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m["dark"] and m["dark"].lower() in ("head", "title"):
-                finish()
             continue
         closing = m["close"] or m["close2"]
         if tag == "a":
@@ -109,37 +145,52 @@ def blocks(page: str) -> list[Text]:
             here.parts.append(" ")
         elif tag in _BLOCKS:
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                finish_with = stack[:depth] if depth is not None else None
-                if finish_with is not None:
-                    stack[:] = finish_with
+                end(tag, _ENDED[tag][1] if tag in ("li", "td") else frozenset())
+                if tag in ("th", "tr", "tbody", "thead", "tfoot"):
+                    end(*_ENDED[tag])
                 links = 0
                 finish()
             else:
-                if tag in _FOLLOWED and not (m["rest"] or m["rest2"] or "").endswith("/"):
-                    furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    stack.append((tag, furniture or _is_furniture(tag, m["rest"] or m["rest2"] or ""),
-                                  article or tag in ("article", "main")))
+                rest = m["rest"] or m["rest2"] or ""
+                if stack and stack[-1][0] == "p":
+                    stack.pop()
+                if tag in _ENDED:
+                    end(*_ENDED[tag])
+                least = 1
+                if tag in ("article", "main") and tag not in wrapped:
+                    # the first one and the elements around it are no furniture for a part of a class name
+                    wrapped.add(tag)
+                    least = 2 if any(b.article and not b.furniture for b in out) else 3
+                    stack[:] = [(t, hard, soft * (soft >= least), article) for t, hard, soft, article in stack]
+                if tag in _FOLLOWED and not rest.endswith("/"):
+                    hard, soft, article = stack[-1][1:] if stack else (False, 0, False)
+                    own_hard, own_soft = _is_furniture(tag, rest)
+                    stack.append((tag, hard or own_hard, max(soft, own_soft * (own_soft >= least)), article or tag in ("article", "main")))
                 finish()
     add(page[at:])
     finish()
     return out
 
 
-def _is_furniture(tag: str, rest: str) -> bool:
+def _is_furniture(tag: str, rest: str) -> tuple[bool, int]:
+    """Whether an element is page furniture by tag, role or whole class name, and by parts of one: 2 for others' articles."""
     if tag in _FURNITURE_TAGS:
-        return True
-    if not rest:
-        return False
+        return True, 0
+    soft = 0
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         value = (a or b or c).lower()
         if name.lower() == "role" and value in _FURNITURE_ROLES or name.lower() == "hidden":
-            return True
+            return True, 0
         if name.lower() == "aria-hidden" and value == "true":
-            return True
-        if name.lower() in ("class", "id") and not _FURNITURE_WORDS.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+            return True, 0
+        if name.lower() in ("class", "id"):
+            whole = value.split()
+            if not _FURNITURE_WORDS.isdisjoint(whole):
+                return True, 0
+            for part in (x for w in whole for x in _PART.findall(_WITH.sub("", w))):
+                if part in _FURNITURE_WORDS:
+                    soft = max(soft, 2 if part in _OTHERS else 1)
+    return False, soft
 
 
 def features(row: list[Text]) -> list[tuple[float, ...]]:

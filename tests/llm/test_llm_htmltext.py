@@ -46,3 +46,21 @@ def test_rows_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<article>x", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in H.extract(df).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
     assert H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>x</title><body><article><p>Text</p></article>", "Text"),
+    ("<head><meta charset=utf-8><style>p{}</style><article><p>Text</p></article>", "Text"),
+    ("<article><p>One</p><button><p>Two</p><select><p>Three</p><iframe src=x><p>Four</p></article>", "One\n\nTwo\n\nThree\n\nFour"),
+    ("<article><p>One</p><script>if (a < b) { f()", "One"), ("<script src=x><article><p>Text</p></article>", "Text"),
+    ("<article><p>One</p><button>No</button><p>Two</p><button>" + "<option>" * 20_000, "One\n\nTwo"),
+    ("<div class='content with-sidebar'><article><p>Text</p></article></div>", "Text"),
+    ("<div class='layout sidebar-left'><main><div id=has-header><p>Text</p></div></main><p>no</p></div>", "Text"),
+    ("<article><p>Text</p><div class='comment-list'><article><p>First!</p></article></div><div class=share-bar>tweet</div></article>", "Text"),
+    ("<main><p>Text</p><div class=comment-list><article><p>First!</p></article></div></main>", "Text"),
+    ("<main><h1>Head</h1><div class=blog-sidebar-left><article class='post tag-social'><p>Text</p></article></div></main>", "Head\n\nText"),
+    ("<article><p>Text</p><p class=ad>Buy<p>more<ul><li class='ad'>Buy<li>point<li class=promo><b>Buy</b></ul>End</article>", "Text\n\nmore\n\npoint\n\nEnd"),
+    ("<article><table><tr><td class=ad>Buy<td>cell<tr><td class=share>tweet</td></tr></table><p>End</p></article>", "cell\n\nEnd"),
+])
+def test_open_elements_and_class_names(tree, page, text):
+    assert H.main_text(page, tree) == text
