@@ -1,4 +1,4 @@
-"""Encoding and decoding by a byte-pair merge list, as a streaming transducer with bounded lookahead.
+"""Encoding and decoding by a byte-pair merge list, as a streaming transducer.
 
 Encoding.  For every position of a word one token ends the tokenization of the text up to there.  It is found
 from the tokens that end there: exactly one of them keeps its border with the token before it, that
@@ -9,8 +9,9 @@ emitted, as soon as the chains of all positions within that reach agree on it.
 
 Memory.  A merge across a border can be prevented only by a merge of lower rank further right, that one by
 another of yet lower rank, and so on.  `sufficient_lookahead` adds up the longest such chain of the merge list:
-what lies further ahead cannot change a token.  The transducer therefore holds a bounded number of positions,
-whatever the length of a word.  Texts are read in pieces cut before white space.
+what lies further ahead cannot change a token.  That number is only tested, it does not govern the encoder: words of up to four
+times the longest token are encoded whole, in longer ones a token waits until the chains agree, for which the code sets no
+bound.  Texts are read in pieces cut before white space.
 
 Decoding.  A state machine takes token after token and emits text.  Where the tokenizer names no decoder, the text
 is the token strings with one space between; `BytesDecoder` instead restores the bytes and emits
