@@ -13,7 +13,8 @@ a containment of 0.8 a sketch of 16 has fewer than 4 hits with a probability bel
 by exact containment: |shingles of item and document| / |shingles of item| >= 0.8.
 
 The documents are read once, without a shuffle, per block of items.  A block holds at most BLOCK
-shingles (8 bytes each plus sketches), whatever the size of the benchmark, and is broadcast.
+shingles (8 bytes each plus sketches), whatever the size of the benchmark, and is broadcast.  What a block finds is stored and the
+block is given up before the next one is read; only the last block waits for the caller.
 
 Defined cases: null and empty texts match nothing; items of fewer than five words have no five-word shingle and match nothing;
 equal items are each reported; repeated documents are each reported; an empty benchmark gives no rows; extra columns are ignored.
@@ -26,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,20 +95,27 @@ class Block:
         return found
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Block]:
-    """Blocks of at most `limit` shingles (one item at least), read one after the other."""
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Blocks of at most `limit` shingles (one item at least), broadcast one after the other, and whether it is the last.
+
+    All but the last are destroyed when the next one is asked for, so what needs them has to be done by then.
+    """
+    context = benchmark.sparkSession.sparkContext
     shingles = stored(item_shingles(benchmark))
     items, sets, total = [], [], 0
     for row in shingles.toLocalIterator():
         names = np.array(row["names"], np.int64).view(np.uint64)
         if total and total + len(names) > limit:
-            yield Block(items, sets)
+            held = context.broadcast(Block(items, sets))
             items, sets, total = [], [], 0
+            yield held, False
+            held.destroy(blocking=True)
+            del held
         items.append(row["item"])
         sets.append(np.sort(names))
         total += len(names)
     if items:
-        yield Block(items, sets)
+        yield context.broadcast(Block(items, sets)), True
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -130,7 +139,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Data
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    parts = [search(spark.sparkContext.broadcast(b)) for b in _blocks(benchmark, block)]
+    parts = []
+    for held, last in _blocks(benchmark, block):
+        parts.append(search(held) if last else stored(search(held)))
+        del held
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -139,17 +151,29 @@ def pa_type(name: str) -> pa.DataType:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of `docs`, all columns, that contain no item; one pass over the texts per block, no join on the id."""
+    """The rows of `docs`, all columns, that contain no item; one pass over the texts per block, no join on the id.
+
+    The last block filters the rows as they pass; those before it leave the digests of the texts that contain an item.
+    """
     columns, kept = docs.columns, docs
 
-    def clean(held):
+    def clean(held, good):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text"):
-                keep = [not held.value.matches(s) for s in W.shingle_sets(b.column("text"))]
-                yield b.filter(pa.array(keep, pa.bool_())).select(columns)
+                keep = [good != bool(held.value.matches(s)) for s in W.shingle_sets(b.column("text"))]
+                yield b.filter(pa.array(keep, pa.bool_())).select(columns if good else ["text"])
 
         return run
 
-    for b in _blocks(benchmark, block):
-        kept = kept.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(b)), docs.schema)
+    gone = []
+    for held, last in _blocks(benchmark, block):
+        if last:
+            kept = kept.mapInArrow(clean(held, True), docs.schema)
+        else:
+            found = docs.select("text").mapInArrow(clean(held, False), "text string")
+            gone.append(stored(found.select(F.sha2("text", 256).alias("digest")).distinct()))
+        del held
+    if gone:
+        digests = reduce(DataFrame.unionByName, gone)
+        kept = kept.join(digests, F.sha2(kept["text"], 256) == digests["digest"], "left_anti")
     return kept

@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 from pyspark.sql import Row
 
@@ -47,3 +49,25 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     assert D.contained(some, items).collect() == [] and D.contained(none, items).collect() == []
     assert D.drop_contaminated(some, items).count() == 1
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    made, held, init = [], [], D.Block.__init__
+
+    def watched(self, *args):
+        gc.collect()
+        held.append(sum(r() is not None for r in made))
+        init(self, *args)
+        made.append(weakref.ref(self))
+
+    monkeypatch.setattr(D.Block, "__init__", watched)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(6)]
+    docs = [(i, f"before {t} after") for i, t in items] + [(9, "none of them is in here, nor here"), (10, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = D.contained(d, b, 30)
+    assert len(made) == 6 and max(held) == 0
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(6)]
+    made.clear(), held.clear()
+    kept = D.drop_contaminated(d, b, 30)
+    assert len(made) == 6 and max(held) == 0
+    assert sorted(r.doc_id for r in kept.collect()) == [9, 10]
