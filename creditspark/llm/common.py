@@ -33,6 +33,54 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Tables of one run of an operator, in a folder of its own in the shared folder.
+
+    `keep` writes a table and goes on from there, as `stored` does; `drop` deletes tables that nothing later reads,
+    and `close` all but the one named.  What stays is the operator's result.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path, held in self.paths.items():
+            if held is not None and any(held is t for t in tables):
+                self._delete(path)
+                self.paths[path] = None
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """The stored result; every other table of the run is deleted."""
+        out = self.keep(result)
+        self.drop(*[t for t in self.paths.values() if t is not None and t is not out])
+        return out
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def numbered(df: DataFrame, order: list, shelf: Shelf, name: str, start: int = 1) -> DataFrame:
+    """`df`, stored, with the numbers start, start + 1, ... in `order` as column `name`.
+
+    Rows are sorted by ranges; the driver only adds up the sizes of the ranges.
+    """
+    placed = shelf.keep(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    firsts = np.cumsum([start] + [n for _, n in sizes])
+    starts = df.sparkSession.createDataFrame([(int(p), int(firsts[i])) for i, (p, _) in enumerate(sizes)], "_p int, _first long")
+    return placed.join(F.broadcast(starts), part == F.col("_p")).select(
+        *df.columns, (F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, pii, quality, suffix, topk, urls
+from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, phrases, pii, quality, suffix, topk, urls
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,45 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
+PHRASES_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), sizes AS (SELECT unnest(range(1, 5)) AS size
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, CAST(len(ws) - size + 2 AS BIGINT)), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+  FROM worded, sizes WHERE len(ws) >= size
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), found AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, f, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM found)
+), scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, k,
+         CAST((CAST(2000000 AS HUGEINT) * c.f) // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT DISTINCT q.lang, q.f, array_to_string(q.ws[i:i + s.size - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size)) AS i FROM found) q JOIN sizes s ON s.size > 1 AND s.size < q.size AND i + s.size - 1 <= q.size
+), dropped AS (
+  SELECT DISTINCT w.lang, w.phrase FROM worst w JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase AND 100 * i.f >= 80 * w.a
+), ranked AS (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n, score
+  FROM worst w JOIN totals USING (lang) WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = w.lang AND d.phrase = w.phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", PHRASES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
