@@ -142,49 +142,43 @@ def _number(batch: pa.RecordBatch, words: dict) -> Iterator[np.ndarray]:
 def double_array(parents: np.ndarray, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base of each parent, check and edge of each slot: the edge (p, c) lies at base[p] + c, where check is p.
 
-    `parents` ascend from 0 and `labels` are numbers from 0, a parent's labels distinct.  Parents of many edges take the
-    first base that fits, the others random bases, all at once, until each fits.
+    `parents` ascend from 0 and `labels` are numbers from 0, a parent's labels distinct.  Parents of many edges are laid
+    one over the other while a random base fits, then in a new stretch; the others take random bases, all at once, until each fits.
     """
     n, wide = int(parents[-1]) + 1, int(labels.max()) + 1
     counts = np.bincount(parents, minlength=n)
     first = np.concatenate([[0], np.cumsum(counts)])
-    size = 2 * len(parents) + wide + 64
-    base, check, edge = np.zeros(n, np.int64), np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    rng = np.random.default_rng(seed)
+    base = np.zeros(n, np.int64)
+    check = np.full(4 * len(parents) + 4 * wide + 64, -1, np.int32)
+    edge = np.zeros(len(check), np.int32)
     order = np.argsort(-counts, kind="stable")
-    low = 0
     many = order[counts[order] > 6]
+    stripe = 0
     for p in many:
-        at = slice(first[p], first[p + 1])
-        own = labels[at]
-        b = max(low - int(own[0]), 0)
-        while True:
-            if b + 256 + wide >= len(check):
-                check = np.concatenate([check, np.full(len(check), -1, np.int64)])
-                edge = np.concatenate([edge, np.zeros(len(edge), np.int64)])
-            tried = np.arange(b, b + 256)
-            fits = (check[tried[:, None] + own] < 0).all(1)
-            if fits.any():
-                base[p] = tried[fits.argmax()]
-                break
-            b += 256
+        own = labels[first[p]:first[p + 1]]
+        tried = rng.integers(stripe, stripe + wide, 256)
+        for part in (own[:8], own):  # most bases fail at the first labels
+            tried = tried[(check[tried[:, None] + part] < 0).all(1)]
+        if not len(tried):
+            stripe += 2 * wide
+            tried = [stripe]
+            if stripe + 2 * wide > len(check):
+                check = np.concatenate([check, np.full(len(check), -1, np.int32)])
+                edge = np.concatenate([edge, np.zeros(len(edge), np.int32)])
+        base[p] = tried[0]
         check[base[p] + own], edge[base[p] + own] = p, np.arange(first[p], first[p + 1])
-        while low < len(check) and check[low] >= 0:
-            low += 1
-    rng = np.random.default_rng(seed)
-    todo = np.zeros(n, bool)
-    todo[order[len(many):]] = True
-    todo &= counts > 0
-    edges = np.flatnonzero(todo[parents])
+    few = np.ones(n, bool)
+    few[many] = False
+    edges = np.flatnonzero(few[parents])
+    winner = np.zeros(len(check), np.int64)
     while len(edges):
         tried = rng.integers(0, len(check) - wide, n)
         slots = tried[parents[edges]] + labels[edges]
-        bad = check[slots] >= 0
-        alone = np.zeros(len(slots), bool)
-        alone[np.unique(slots, return_index=True)[1]] = True
-        stay = np.unique(parents[edges[bad | ~alone]])
-        fine = np.ones(n, bool)
-        fine[stay] = False
-        on = fine[parents[edges]]
+        winner[slots] = edges
+        fits = np.ones(n, bool)
+        fits[parents[edges[(check[slots] >= 0) | (winner[slots] != edges)]]] = False
+        on = fits[parents[edges]]
         done = edges[on]
         base[parents[done]] = tried[parents[done]]
         check[slots[on]], edge[slots[on]] = parents[done], done
@@ -266,47 +260,48 @@ def _advanced(rows: DataFrame, edges: DataFrame, n_edges: int, first: int, size:
     """Rows whose nodes stand for `size` words, and the counts (id, f) of the accepting states."""
     context = rows.sparkSession.sparkContext
     counts, before = None, None
-    held_rows = rows.withColumn("next", F.transform("nodes", lambda x: F.lit(0).cast("long")))
+    long = "array<long>"
     for start in range(first, first + n_edges, SHARD):
         part = edges.where(F.col("id").between(start, min(start + SHARD, first + n_edges) - 1)).orderBy("id").toArrow()
         held = context.broadcast(Trie(part["parent"].to_numpy(), part["word"].to_numpy(), start))
         del part
         ends = start + SHARD >= first + n_edges
+        columns = ["ids", *([] if ends else ["nodes"]), "next", "node", "n"]
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, store=not (last and ends)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, ends=ends, columns=columns) -> Iterator[pa.RecordBatch]:
             trie = held.value
             accepted = np.zeros(trie.edges, np.int64)
-            none = pa.nulls(1, pa.list_(pa.int64()))
             for batch in batches:
                 ids, nodes, offsets, own = _flat(batch)
                 reached = trie.advance(nodes, _shifted(ids, size - 1))
                 on = reached[own]
                 accepted += np.bincount(on[on > 0] - trie.first, minlength=trie.edges)
-                if store:
-                    made = np.maximum(reached, batch.column("next").flatten().to_numpy(zero_copy_only=False))
-                    n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("ids"), batch.column("nodes"), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(made)),
-                         pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))],
-                        ["ids", "nodes", "next", "node", "n"])
+                if last and ends:
+                    continue
+                if "next" in batch.schema.names:
+                    reached = np.maximum(reached, batch.column("next").flatten().to_numpy(zero_copy_only=False))
+                none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+                made = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(reached))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("ids"), *([] if ends else [batch.column("nodes")]), made, none, none], columns)
             at = np.flatnonzero(accepted)
+            none = pa.nulls(1, pa.list_(pa.int64()))
             for i in range(0, len(at), 1 << 16):
                 k = at[i:i + (1 << 16)]
                 lists = [pa.ListArray.from_arrays(np.array([0, len(k)], np.int32), pa.array(x)) for x in (k + trie.first, accepted[k])]
-                yield pa.RecordBatch.from_arrays([none, none, none, *lists], ["ids", "nodes", "next", "node", "n"])
+                yield pa.RecordBatch.from_arrays([none] * (len(columns) - 2) + lists, columns)
 
-        long = "array<long>"
-        made = shelf.keep(held_rows.mapInArrow(run, f"ids {long}, nodes {long}, next {long}, node {long}, n {long}"))
+        made = shelf.keep(rows.mapInArrow(run, ", ".join(f"{c} {long}" for c in columns)))
         held.unpersist()
         found = made.where("node is not null").select(F.explode(F.arrays_zip("node", "n")).alias("x")).groupBy(
             F.col("x.node").alias("id")).agg(F.sum("x.n").alias("f"))
-        found = shelf.keep(found)
         counts = found if counts is None else counts.unionByName(found)
         if before is not None:
+            counts = shelf.keep(counts)
             shelf.drop(before)
         before = made
-        held_rows = made.where("ids is not null").select("ids", "nodes", "next")
-    return held_rows.select("ids", F.col("next").alias("nodes")), counts
+        rows = made.where("ids is not null").drop("node", "n")
+    return rows.select("ids", F.col("next").alias("nodes")), counts
 
 
 def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[DataFrame, list[DataFrame]]:
@@ -316,7 +311,7 @@ def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[Da
     """
     counted = shelf.keep(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()))
     totals = counted.where("word is null").select("lang", "n")
-    words = shelf.keep(numbered(counted.where("word is not null").withColumnRenamed("n", "f"), [F.desc("f"), "lang", "word"], shelf, "id"))
+    words = numbered(counted.where("word is not null").withColumnRenamed("n", "f"), [F.desc("f"), "lang", "word"], shelf, "id")
     n_words = words.count()
     levels = [words.select("id", "lang", F.col("word").alias("text"), "f")]
 
@@ -329,7 +324,7 @@ def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[Da
 
     rows = _encoded(docs, shards(), longest - 1, shelf)
     for size in range(2, longest + 1):
-        edges = shelf.keep(numbered(_candidates(rows, size - 1, least), ["parent", "suffix"], shelf, "id"))
+        edges = numbered(shelf.keep(_candidates(rows, size - 1, least)), ["parent", "suffix"], shelf, "id")
         n_edges = edges.count()
         if not n_edges:
             break

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, phrases, pii, quality, suffix, topk, urls
+from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, phrases, pii, quality, suffix, topk, urls, variants
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +196,45 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 @query("op13_phrase_collocations", PHRASES_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+VARIANTS_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), hexed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM counted
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(1, CAST(length(x) AS BIGINT), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM hexed, crc
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (SELECT word, unnest(range(1, CAST(length(word) + 1 AS BIGINT))) AS i FROM words
+), forms AS (
+  SELECT word, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS blank, substr(word, 1, i - 1) || substr(word, i + 1) AS fewer FROM places
+), pairs AS (
+  SELECT a.word AS a, b.word AS b FROM forms a JOIN forms b ON a.blank = b.blank AND a.word <> b.word
+  UNION SELECT f.word, w.word FROM forms f JOIN words w ON f.fewer = w.word
+  UNION SELECT w.word, f.word FROM forms f JOIN words w ON f.fewer = w.word
+), known AS (
+  SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS best, max(n) AS best_n FROM pairs JOIN words ON words.word = b GROUP BY a
+), near AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form,
+         CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN known ON a = word
+), walk AS (
+  WITH RECURSIVE step AS (
+    SELECT word, word AS last, form AS next FROM near
+    UNION ALL SELECT s.word, n.word, n.form FROM step s JOIN near n ON n.word = s.next
+  ) SELECT word, last AS root FROM step WHERE next IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM near JOIN walk USING (word)
+"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
