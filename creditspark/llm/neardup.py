@@ -28,7 +28,7 @@ that share a doc_id count as one document, a null doc_id has no partners and cla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,12 +191,12 @@ def _settled(edges: DataFrame) -> bool:
     return chained.unionByName(forked).limit(1).isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, stored: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """node and label, the smallest node of its component, from links (node, centre) of any direction.
 
     Alternating stars: each node's larger neighbours, then its smaller ones, hang on to its smallest neighbour, until
     all links lead to the label.  The tables stay distributed; a node with many links
-    is one side of a join that can be split, since both sides are stored.
+    is one side of a join that can be split, since both sides are stored (by `stored`).
     """
     edges = stored(links.select(
         F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).where("u <> v").distinct())

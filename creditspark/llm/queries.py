@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import bpe, decontaminate, htmltext, lines, neardup, phrases, pii, quality, suffix, topk, urls, variants
+from creditspark.llm import bpe, decontaminate, embeddings, htmltext, lines, neardup, phrases, pii, quality, suffix, topk, urls, variants
 from creditspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,3 +238,30 @@ SELECT word, form, root, n, n_near, form_n FROM near JOIN walk USING (word)
 @query("op11_spelling_variants", VARIANTS_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
+
+
+NEAR_COPIES_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.row AS a, b.row AS b, b.vec_id FROM sound a JOIN sound b
+    ON a.row <> b.row AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT row AS a, row AS b FROM sound UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), heads AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN sound ON row = b GROUP BY a
+), counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a
+), found AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, component_id FROM sound JOIN heads ON heads.a = row LEFT JOIN counts ON counts.a = row
+  UNION ALL
+  SELECT vec_id, 0, vec_id FROM embeddings WHERE embedding IS NULL
+    OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, CAST(component_id AS BIGINT) AS component_id, coalesce(vec_id = component_id, false) AS kept FROM found
+"""
+
+
+@query("op12_embedding_near_copies", NEAR_COPIES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_copies(table(spark, sf_dir, "embeddings"))
