@@ -38,9 +38,9 @@ SHARD = 500_000
 #: Distinct words a task counts before it hands them on.
 HELD = 200_000
 #: Positions of a row; as many words of the next row follow as a phrase can reach into, then a 0.
-ROW = 4096
+ROW = 512
 #: Positions whose pairs of states are counted together in a task.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -96,7 +96,7 @@ def _rows(numbers: np.ndarray, reach: int) -> Iterator[np.ndarray]:
 
 
 def _encoded(docs: DataFrame, shards: Iterator[dict], reach: int, shelf: Shelf) -> DataFrame:
-    """ids (word numbers) and nodes (the same: the states after one word), stored."""
+    """ids (word numbers, stored) and nodes (the same: the states after one word)."""
     context = docs.sparkSession.sparkContext
     rows = docs.select("lang", "text").withColumn("ids", F.lit(None).cast("array<long>"))
     before = None
@@ -111,18 +111,18 @@ def _encoded(docs: DataFrame, shards: Iterator[dict], reach: int, shelf: Shelf)
                         if made:
                             ids = pa.ListArray.from_arrays(np.cumsum([0] + [len(m) for m in made]).astype(np.int32),
                                                            pa.array(np.concatenate(made)))
-                            yield pa.RecordBatch.from_arrays([ids, ids], ["ids", "nodes"])
+                            yield pa.RecordBatch.from_arrays([ids], ["ids"])
                 else:
                     numbers = [next(iter(_number(batch.slice(i, 1), held.value))) for i in range(batch.num_rows)]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("lang"), batch.column("text"), pa.array(numbers, pa.list_(pa.int64()))], ["lang", "text", "ids"])
 
-        made = shelf.keep(rows.mapInArrow(run, "ids array<long>, nodes array<long>" if last else "lang string, text string, ids array<long>"))
+        made = shelf.keep(rows.mapInArrow(run, "ids array<long>" if last else "lang string, text string, ids array<long>"))
         held.unpersist()
         if before is not None:
             shelf.drop(before)
         rows = before = made
-    return rows
+    return rows.withColumn("nodes", F.col("ids"))
 
 
 def _number(batch: pa.RecordBatch, words: dict) -> Iterator[np.ndarray]:
