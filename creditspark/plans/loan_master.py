@@ -7,7 +7,7 @@ conditional aggregate per loan and one join with origination.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from creditspark import schema
 from creditspark.functions import cleaning
 from creditspark.functions.delinquency import zero_balance
 from creditspark.operators.history import lag_features
-from creditspark.scale import row_hash
+from creditspark.scale import bounded, join_on, repeated_keys, row_hash
 
 # Terminal-record columns that are passed through when present.
 CARRIED = [
@@ -61,22 +61,37 @@ def balance(*before: str, last: str = "orig_upb") -> Column:
     return cleaning.fallback(*[F.col(c) for c in before], F.col(last))
 
 
-def _place(history: DataFrame, month: str) -> Column:
-    """Order of a loan's rows: month, then status, then a hash of the whole row, so repeats have a fixed order."""
-    return F.struct(month, *[c for c in ("delq_sts",) if c in history.columns], row_hash(history).alias("_h"))
+def _place(history: DataFrame, month: str, fixed: bool) -> Column:
+    """Order of a loan's rows: month, then status, and for loans with repeats a hash of the whole row."""
+    last = [row_hash(history).alias("_h")] if fixed else []
+    return F.struct(month, *[c for c in ("delq_sts",) if c in history.columns], *last)
 
 
-def _first(condition: Column, fields: Sequence[str], month: str, history: DataFrame) -> Column:
-    return F.min_by(F.struct(*fields), F.when(condition, _place(history, month)))
+def _first(condition: Column, fields: Sequence[str], place: Column) -> Column:
+    return F.min_by(F.struct(*fields), F.when(condition, place))
+
+
+def _per_loan(
+    history: DataFrame, key: str, month: str, pick: Callable[[DataFrame, Column], DataFrame],
+    repeated: DataFrame | None | bool = True,
+) -> DataFrame:
+    """Picks per loan by place; the whole row is read only for loans with rows that month and status do not tell apart."""
+    if repeated is True:
+        repeated = repeated_keys(history, key, month, ("delq_sts",))
+    if repeated is None:
+        return pick(history, _place(history, month, False))
+    keys = bounded(repeated)
+    plain, others = join_on(history, keys, [key], "left_anti"), join_on(history, keys, [key], "left_semi")
+    return pick(plain, _place(plain, month, False)).unionByName(pick(others, _place(others, month, True)))
 
 
 def first_delinquency(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
     """Per loan and bucket the first month in exactly that bucket, with its balance."""
     fields = [month, "curr_act_upb", "prior_upb", "orig_upb"]
     buckets = schema.FIRST_DELINQUENCY_BUCKETS
-    per_loan = history.groupBy(key).agg(*[
-        _first(F.col("delq_sts_new") == str(b), fields, month, history).alias(f"b{b}") for b in buckets
-    ])
+    per_loan = _per_loan(history, key, month, lambda rows, place: rows.groupBy(key).agg(*[
+        _first(F.col("delq_sts_new") == str(b), fields, place).alias(f"b{b}") for b in buckets
+    ]))
     long = F.explode(F.array(*[
         F.struct(F.lit(b).alias("bucket"), F.col(f"b{b}").alias("r")) for b in buckets
     ]))
@@ -91,8 +106,8 @@ def first_delinquency(history: DataFrame, key: str = "id_loan", month: str = "pe
 def pre_d180_default(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
     """First bucket-6 month or earlier default per loan."""
     fields = [month, "curr_act_upb", "prior_upb", "orig_upb", "delq_sts", "cd_zero_bal"]
-    first = history.filter(is_pre_d180()).groupBy(key).agg(
-        F.min_by(F.struct(*fields), _place(history, month)).alias("r"))
+    first = _per_loan(history.filter(is_pre_d180()), key, month, lambda rows, place: rows.groupBy(key).agg(
+        F.min_by(F.struct(*fields), place).alias("r")))
     return first.select(key, "r.*").select(
         key, month, "delq_sts", "cd_zero_bal", F.lit(1).alias("pd_d180_ind"),
         balance("curr_act_upb", "prior_upb").alias("pd_d180_upb"),
@@ -102,9 +117,8 @@ def pre_d180_default(history: DataFrame, key: str = "id_loan", month: str = "per
 def first_modification(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
     """First month with a current modification per loan, with its balance."""
     fields = [month, "curr_act_upb", "prior_upb", "orig_upb"]
-    first = history.filter(F.col("flag_mod") == "Y").groupBy(key).agg(
-        F.min_by(F.struct(*fields), _place(history, month)).alias("r")
-    )
+    first = _per_loan(history.filter(F.col("flag_mod") == "Y"), key, month, lambda rows, place: rows.groupBy(key).agg(
+        F.min_by(F.struct(*fields), place).alias("r")))
     return first.select(key, "r.*").select(
         key, month, F.lit(1).alias("mod_ind"), balance("curr_act_upb", "prior_upb").alias("mod_upb")
     )
@@ -126,7 +140,8 @@ def _terminal_columns() -> dict[str, Column]:
 def terminal_record(history: DataFrame, key: str = "id_loan", month: str = "period") -> DataFrame:
     """Last row of every loan with its default balance, transition texts and rate."""
     fields = [c for c in history.columns if c not in (key, month)]
-    last = history.groupBy(key).agg(F.max_by(F.struct(month, *fields), _place(history, month)).alias("r"))
+    last = _per_loan(history, key, month, lambda rows, place: rows.groupBy(key).agg(
+        F.max_by(F.struct(month, *fields), place).alias("r")))
     return last.select(key, "r.*").withColumns(_terminal_columns())
 
 
@@ -174,7 +189,8 @@ def loan_master(performance: DataFrame, origination: DataFrame, distinct: bool =
     Performance is deduplicated and lagged, aggregated once per loan, and joined with
     origination; the original balance enters after the join, as it is a loan column.
     """
-    history = lag_features(performance, distinct=distinct)
+    repeated = repeated_keys(performance, "id_loan", "period", ("delq_sts",))
+    history = lag_features(performance, distinct=distinct, repeated=repeated)
     month, fields = "period", ["curr_act_upb", "prior_upb"]
     carried = [c for c in CARRIED if c in history.columns]
     last = [
@@ -186,10 +202,10 @@ def loan_master(performance: DataFrame, origination: DataFrame, distinct: bool =
         "mod": F.col("flag_mod") == "Y",
         "d180": is_pre_d180(),
     }
-    per_loan = history.groupBy("id_loan").agg(
-        F.max_by(F.struct(*last), _place(history, month)).alias("f"),
-        *[_first(c, [month, *fields], month, history).alias(n) for n, c in firsts.items()],
-    )
+    per_loan = _per_loan(history, "id_loan", month, lambda rows, place: rows.groupBy("id_loan").agg(
+        F.max_by(F.struct(*last), place).alias("f"),
+        *[_first(c, [month, *fields], place).alias(n) for n, c in firsts.items()],
+    ), repeated)
     joined = origination.join(per_loan, "id_loan", "left")
 
     def pick(name: str, ind: str, upb: str) -> dict[str, Column]:

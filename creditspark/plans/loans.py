@@ -41,12 +41,19 @@ def prepare_performance(raw: DataFrame) -> DataFrame:
 
 def labelled_panel(
     performance: DataFrame, origination: DataFrame, rolling: bool = False,
-    unique_loans: bool = False,
+    unique_loans: bool = False, calendar: bool = False, drop_censored: bool = False,
 ) -> DataFrame:
-    """Panel with default columns and target: one exchange per input, both on the loan."""
+    """Panel with default columns and target: one exchange per input, both on the loan.
+
+    Target and maxima look over rows or, with `calendar`, over months; `drop_censored` leaves out rows
+    that are not followed for the whole horizon.
+    """
     panel = joins.build_panel(performance, origination, unique_loans=unique_loans)
+    trimmed = performance.withColumn(schema.LOAN, cleaning.join_key(schema.LOAN))
+    parents = None if unique_loans else origination.select(cleaning.join_key(schema.LOAN).alias(schema.LOAN))
     return history.label_default(
-        panel, rolling=history.ROLLING_MONTHS if rolling else (), skew_from=performance
+        panel, rolling=history.ROLLING_MONTHS if rolling else (), skew_from=trimmed, parents=parents,
+        calendar=calendar, drop_censored=drop_censored,
     )
 
 

@@ -108,10 +108,33 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """A number of the whole row: rows that differ have a fixed order whatever the layout."""
+    """A number of the whole row: rows that differ have a fixed order whatever the layout.
+
+    It reads every column, so it is used only for keys that have repeated rows (`repeated_keys`).
+    """
     return F.xxhash64(*sorted(df.columns))
 
 
+def repeated_keys(
+    df: DataFrame, key: str, order: str, ties: Sequence[str] = (), parents: DataFrame | None = None,
+) -> DataFrame | None:
+    """Keys of which (order, ties) leave the order of some rows open, stored; None if there are none.
+
+    A pre-aggregated count over these columns only.  `parents` is a table joined to `df` on the key; keys it
+    repeats repeat the rows of `df`.
+    """
+    known = [c for c in ties if c in df.columns]
+    found = df.groupBy(key, order, *known).count().filter("count > 1").select(key)
+    if parents is not None:
+        found = found.unionByName(parents.groupBy(key).count().filter("count > 1").select(key))
+    return None if found.isEmpty() else cut(found.distinct())
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if it has few rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def entity_windows(
     df: DataFrame,
     key: str,
@@ -122,40 +145,86 @@ def entity_windows(
     ties: Sequence[str] = (),
     skew_from: DataFrame | None = None,
     distinct: bool = False,
+    parents: DataFrame | None = None,
+    repeated: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add window columns per `key`, ordered by `order`, that look at most `behind`
     rows back and `ahead` rows forward.
 
-    `ties` settle the order of repeated (key, order) rows, and a hash of the whole row what
-    they leave open; ties are flag or code columns with few values.  Hot keys are found by
-    counting `skew_from` (default: `df`; pass the narrow source table when `df` is
-    the result of a join).  A hot key is cut into chunks of consecutive rows, each
+    `ties` settle the order of repeated (key, order) rows; ties are flag or code columns with few values.
+    Keys with rows that they leave open (`repeated`; by default looked for with `repeated_keys`) take a hash of the
+    whole row as well; the plan of all other rows reads only the columns that are wanted.  Hot keys and
+    repeats are counted in `skew_from` (default: `df`; pass the narrow source table when `df` is
+    the result of a join, and the other side of the join as `parents`).  A hot key is cut into chunks of consecutive rows, each
     with the neighbouring rows it looks at, so no task holds the whole key.  With
     `distinct`, repeated rows are dropped first, within the same exchange on the key.
     """
-    def plain(part: DataFrame) -> DataFrame:
+    def plain(part: DataFrame, fixed: bool = False) -> DataFrame:
         if distinct:
             part = part.repartition(key).distinct()
-        return part.withColumns(columns(Window.partitionBy(key).orderBy(order, *ties, row_hash(part))))
+        last = [row_hash(part)] if fixed else []
+        return part.withColumns(columns(Window.partitionBy(key).orderBy(order, *ties, *last)))
+
+    def ordered(part: DataFrame) -> DataFrame:
+        if repeated is None:
+            return plain(part)
+        keys = bounded(repeated)
+        return plain(join_on(part, keys, [key], "left_anti")).unionByName(
+            plain(join_on(part, keys, [key], "left_semi"), fixed=True))
 
     source = df if skew_from is None else skew_from
+    if repeated is True:
+        repeated = repeated_keys(source, key, order, ties, parents)
     if is_small(source):
-        return plain(df)
+        return ordered(df)
     hot = hot_keys(source, key)
     n_hot = hot.count()
     if n_hot == 0:
-        return plain(df)
+        return ordered(df)
     if n_hot <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     cold_rows = join_on(df, hot, [key], "left_anti")
     hot_rows = join_on(df, hot, [key], "left_semi")
     if distinct:
         hot_rows = hot_rows.distinct()
-    return plain(cold_rows).unionByName(
+    return ordered(cold_rows).unionByName(
         _chunked_windows(hot_rows, key, order, columns, behind, ahead, ties)
     )
 
 
+def calendar_max(
+    df: DataFrame, key: str, month: str, columns: dict[str, tuple[Column, int, int]],
+    skew_from: DataFrame | None = None,
+) -> DataFrame:
+    """Add per `key` the largest value among the rows `low` to `high` months from the row: {name: (value, low, high)}.
+
+    Months are dates or numbers that count months.  Rows of one month are equals: they see the same months, so their order
+    does not matter.  A hot key is reduced to one row per month first, which no task
+    needs to hold whole, and the results go back to its rows.  Rows without a month get null.
+    """
+    kind = dict(df.dtypes)[month]
+    index = F.year(month) * 12 + F.month(month) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(month).cast("long")
+    df = df.withColumns({"_month": index.cast("long")} | {f"_v{i}": v for i, (v, _, _) in enumerate(columns.values())})
+    extra = ["_month", *[f"_v{i}" for i in range(len(columns))]]
+
+    def windows(part: DataFrame) -> DataFrame:
+        by_month = Window.partitionBy(key).orderBy("_month")
+        return part.withColumns({
+            name: F.when(F.col("_month").isNotNull(), F.max(f"_v{i}").over(by_month.rangeBetween(low, high)))
+            for i, (name, (_, low, high)) in enumerate(columns.items())})
+
+    source = df if skew_from is None else skew_from
+    hot = None if is_small(source) else hot_keys(source, key)
+    if hot is None or hot.isEmpty():
+        return windows(df).drop(*extra)
+    keys = bounded(hot)
+    hot_rows = join_on(df, keys, [key], "left_semi")
+    monthly = hot_rows.filter("_month is not null").groupBy(key, "_month").agg(*[F.max(c).alias(c) for c in extra[1:]])
+    found = cut(windows(monthly).select(key, "_month", *columns))
+    return windows(join_on(df, keys, [key], "left_anti")).drop(*extra).unionByName(
+        join_on(hot_rows, bounded(found), [key, "_month"], "left").drop(*extra))
+
+
 def _chunked_windows(df, key, order, columns, behind, ahead, ties):
     size = max(_setting(df, "chunkRows", CHUNK_ROWS), behind, ahead)
     # Position of every row in its key = rows in earlier (order, ties) + rows in earlier cells + place in its cell.

@@ -464,6 +464,32 @@ def _(spark, sf):
         *ID, "max_dpd_3m", "max_dpd_6m", "max_dpd_12m")
 
 
+MONTHS = "PARTITION BY loan_sequence_number ORDER BY year(monthly_reporting_period) * 12 + month(monthly_reporting_period) RANGE BETWEEN"
+
+
+@query("lookahead_default_calendar", f"""
+SELECT {LOAN_MONTH}, CAST(coalesce(max(CAST(evento_default AS INTEGER)) OVER ({MONTHS} 1 FOLLOWING AND 12 FOLLOWING), 0) AS INTEGER) AS default_12m
+FROM staged_rows""")
+def _(spark, sf):
+    return history.lookahead_default(t.staged(spark, sf), calendar=True).select(*ID, "default_12m")
+
+
+@query("lookahead_default_observed", f"""
+SELECT {LOAN_MONTH}, default_12m FROM (SELECT *, lead(1, 12) OVER (PARTITION BY loan_sequence_number ORDER BY monthly_reporting_period) AS later FROM labelled)
+WHERE later IS NOT NULL""")
+def _(spark, sf):
+    return history.lookahead_default(t.staged(spark, sf), drop_censored=True).select(*ID, "default_12m")
+
+
+@query("rolling_max_dpd_calendar", f"""
+SELECT {LOAN_MONTH}, max(dpd_numerico) OVER ({MONTHS} 2 PRECEDING AND CURRENT ROW) AS max_dpd_3m,
+  max(dpd_numerico) OVER ({MONTHS} 5 PRECEDING AND CURRENT ROW) AS max_dpd_6m,
+  max(dpd_numerico) OVER ({MONTHS} 11 PRECEDING AND CURRENT ROW) AS max_dpd_12m FROM staged_rows""")
+def _(spark, sf):
+    return history.rolling_max_dpd(t.staged(spark, sf), calendar=True).select(
+        *ID, "max_dpd_3m", "max_dpd_6m", "max_dpd_12m")
+
+
 def _moved(rows: int) -> str:
     return f"""
 SELECT * FROM (SELECT *, lead(ifrs9_stage, {rows}) OVER (PARTITION BY loan_sequence_number
@@ -492,6 +518,12 @@ def _(spark, sf):
     return transitions.stage_matrix(history.stage_after(t.staged(spark, sf), 3, "later"), "later")
 
 
+@query("transition_matrix_calendar", LONG_MATRIX, moved=f"""
+SELECT * FROM (SELECT *, max(ifrs9_stage) OVER ({MONTHS} 3 FOLLOWING AND 3 FOLLOWING) AS later FROM staged_rows) WHERE later IS NOT NULL""")
+def _(spark, sf):
+    return transitions.stage_matrix(history.stage_after(t.staged(spark, sf), 3, "later", calendar=True), "later")
+
+
 @query("pivot_matrix", _matrix(1), moved=_moved(3))
 def _(spark, sf):
     matrix = transitions.stage_matrix(history.stage_after(t.staged(spark, sf), 3, "later"), "later")
@@ -523,7 +555,8 @@ SELECT round(sum((q - p) * ln(q / p)), 9) AS psi, count(*) AS n_stages FROM (
 WHERE r > 0 AND n > 0""", moved=_moved(3))
 def _(spark, sf):
     panel = history.default_columns(t.panel(spark, sf))
-    moved = history.stage_after(panel, 3, "later", skew_from=t.performance(spark, sf))
+    moved = history.stage_after(
+        panel, 3, "later", skew_from=t.performance(spark, sf), parents=t.origination(spark, sf).select(schema.LOAN))
     return transitions.stage_psi(moved).withColumn("psi", F.round("psi", 9))
 
 

@@ -196,3 +196,78 @@ def test_one_hot_loan_in_one_month_is_spread(spark, large):
     assert all(follows[r.back] == r.v for r in rows if r.back is not None)
     cells = df.select(F.shiftright(row_hash(df), 52).alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
     assert cells < 13  # the chunk size of this test
+
+
+# --- repeats and calendar months ----------------------------------------------
+
+
+def test_only_loans_with_repeats_read_the_whole_row(spark):
+    names = SCHEMA + ", note string"
+    clean = [(*r, "x") for r in rows_of("A", range(6), [0, 0, 1, 0, 0, 0]) + rows_of("B", range(4), [0] * 4)]
+    plan = history.lookahead_default(spark.createDataFrame(clean, names)).select("loan_sequence_number", "default_12m")._jdf.queryExecution().toString()
+    assert "xxhash64" not in plan
+    repeats = clean + [("B", 2, 0.0, False, "y")]
+    got = history.lookahead_default(spark.createDataFrame(repeats, names))
+    assert "xxhash64" in got._jdf.queryExecution().toString()
+    assert sorted((r[0], r[1], r.default_12m) for r in got.collect()) == [
+        ("A", 0, 1), ("A", 1, 1), ("A", 2, 0), ("A", 3, 0), ("A", 4, 0), ("A", 5, 0), ("B", 0, 0), ("B", 1, 0), ("B", 2, 0), ("B", 2, 0), ("B", 3, 0)]
+
+
+def test_repeated_loans_of_the_other_table_repeat_rows(spark):
+    from creditspark.scale import repeated_keys
+    rows = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1)], "k string, m int")
+    assert repeated_keys(rows, "k", "m") is None
+    parents = spark.createDataFrame([("A",), ("B",), ("B",)], "k string")
+    assert [r.k for r in repeated_keys(rows, "k", "m", parents=parents).collect()] == ["B"]
+
+
+def by_calendar(rows, horizon=12):
+    out = []
+    for loan, m, dpd, _ in rows:
+        own = [r for r in rows if r[0] == loan and r[1] is not None]
+        if m is None:
+            out.append((loan, m, 0, dpd, dpd, dpd))
+            continue
+        ahead = any(r[3] for r in own if m < r[1] <= m + horizon)
+        back = lambda n: max((r[2] for r in own if m - n < r[1] <= m and r[2] is not None), default=None)  # noqa: E731,B023
+        out.append((loan, m, int(ahead), back(3), back(6), back(12)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("plan", ["large", "small"])
+def test_calendar_windows_equal_brute_force(spark, request, plan):
+    request.getfixturevalue(plan)
+    rows = [(loan, None if m is None else m * 3 // 2, d, e) for loan, m, d, e in generated(5)] + [("few", None, 2.0, False), ("hot", None, 3.0, True)]
+    df = history.lookahead_default(spark.createDataFrame(rows, SCHEMA).repartition(3), calendar=True)
+    out = history.rolling_max_dpd(df, calendar=True)
+    got = sorted((tuple(r) for r in out.select(
+        "loan_sequence_number", "monthly_reporting_period", "default_12m", "max_dpd_3m", "max_dpd_6m", "max_dpd_12m").collect()), key=str)
+    assert got == by_calendar(rows)
+
+
+@pytest.mark.parametrize("plan", ["large", "small"])
+def test_gaps_do_not_stretch_the_horizon_and_dates_count_months(spark, request, plan):
+    request.getfixturevalue(plan)
+    import datetime
+    dates = [datetime.date(2020 + m // 12, m % 12 + 1, 1) for m in (0, 1, 13, 26)]
+    rows = [("A", d, 0.0, i == 2) for i, d in enumerate(dates)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("period int", "period date"))
+    got = {r.monthly_reporting_period: r.default_12m for r in history.lookahead_default(df, calendar=True).collect()}
+    assert [got[d] for d in dates] == [0, 1, 0, 0]
+    seen = {r.monthly_reporting_period for r in history.lookahead_default(df, calendar=True, drop_censored=True).collect()}
+    assert seen == set(dates[:3])
+
+
+@pytest.mark.parametrize("plan", ["large", "small"])
+def test_censored_rows_are_dropped_on_wish(spark, request, plan):
+    request.getfixturevalue(plan)
+    df = spark.createDataFrame(rows_of("A", range(60), [0] * 59 + [1]) + rows_of("B", range(5), [0] * 5), SCHEMA)
+    got = history.lookahead_default(df, drop_censored=True).collect()
+    assert sorted(r.monthly_reporting_period for r in got) == list(range(48)) and {r.loan_sequence_number for r in got} == {"A"}
+    assert sum(r.default_12m for r in got) == 1
+
+
+def test_stage_some_months_later(spark):
+    df = spark.createDataFrame([("A", 1, 1), ("A", 2, 1), ("A", 4, 2), ("A", 4, 3), ("A", 7, 1)], "loan_sequence_number string, monthly_reporting_period int, ifrs9_stage int")
+    got = {(r[1], r.later) for r in history.stage_after(df, 3, "later", calendar=True).collect()}
+    assert got == {(1, 3), (4, 1)}
