@@ -106,6 +106,14 @@ def lifetime_backtest(
     )
 
 
+def backtest_matrix(backtest: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """One row per vintage: observed rate and error for each horizon (null where too few loans are seen)."""
+    at = lambda c, h: F.max(F.when(F.col("horizon_months") == h, F.col(c)))
+    return backtest.groupBy(schema.VINTAGE).agg(*[
+        at(c, h).alias(f"{n}_{h}") for h in horizons for c, n in (("obs_default_rate", "obs"), ("abs_error", "error"))
+    ])
+
+
 def lifetime_backtest_summary(backtest: DataFrame) -> DataFrame:
     return backtest.agg(
         F.avg("abs_error").alias("mae"), F.avg("ratio_pred_obs").alias("mean_ratio"), rows().alias("n")

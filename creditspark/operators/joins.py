@@ -12,16 +12,18 @@ from creditspark.scale import bounded_broadcast
 
 def build_panel(
     performance: DataFrame, origination: DataFrame, key: str = schema.LOAN,
-    unique_loans: bool = False,
+    unique_loans: bool = False, trimmed: bool = False,
 ) -> DataFrame:
     """Every performance row with its loan's origination columns.
 
     The origination vintage replaces the performance one (null for rows without a
     loan); other shared names get the suffix `_orig`.  Keys are trimmed before the
-    join, so the exchange on the key also serves the loan windows after it.
+    join, so the exchange on the key also serves the loan windows after it.  Tables stored in buckets
+    have `trimmed` keys already and need no exchange.
     """
-    left = performance.withColumn(key, cleaning.join_key(key))
-    right = origination.withColumn(key, cleaning.join_key(key))
+    left, right = performance, origination
+    if not trimmed:
+        left, right = (df.withColumn(key, cleaning.join_key(key)) for df in (performance, origination))
     if unique_loans:
         right = right.dropDuplicates([key])
     if schema.VINTAGE in right.columns:

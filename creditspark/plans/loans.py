@@ -41,18 +41,19 @@ def prepare_performance(raw: DataFrame) -> DataFrame:
 
 def labelled_panel(
     performance: DataFrame, origination: DataFrame, rolling: bool = False,
-    unique_loans: bool = False, calendar: bool = False, drop_censored: bool = False,
+    unique_loans: bool = False, calendar: bool = False, drop_censored: bool = False, trimmed: bool = False,
 ) -> DataFrame:
     """Panel with default columns and target: one exchange per input, both on the loan.
 
     Target and maxima look over rows or, with `calendar`, over months; `drop_censored` leaves out rows
-    that are not followed for the whole horizon.
+    that are not followed for the whole horizon.  `trimmed` keys, as in tables stored in buckets, are taken as they are.
     """
-    panel = joins.build_panel(performance, origination, unique_loans=unique_loans)
-    trimmed = performance.withColumn(schema.LOAN, cleaning.join_key(schema.LOAN))
-    parents = None if unique_loans else origination.select(cleaning.join_key(schema.LOAN).alias(schema.LOAN))
+    panel = joins.build_panel(performance, origination, unique_loans=unique_loans, trimmed=trimmed)
+    key = F.col(schema.LOAN) if trimmed else cleaning.join_key(schema.LOAN)
+    parents = None if unique_loans else origination.select(key.alias(schema.LOAN))
     return history.label_default(
-        panel, rolling=history.ROLLING_MONTHS if rolling else (), skew_from=trimmed, parents=parents,
+        panel, rolling=history.ROLLING_MONTHS if rolling else (),
+        skew_from=performance.withColumn(schema.LOAN, key), parents=parents,
         calendar=calendar, drop_censored=drop_censored,
     )
 
@@ -77,18 +78,20 @@ def add_features(df: DataFrame) -> DataFrame:
 
 def feature_dataset(
     panel: DataFrame, macro: DataFrame | None = None, levels: dict[str, list[str]] | None = None,
+    encode: bool = True,
 ) -> DataFrame:
     """Modelling rows: look-back features, row features, macro columns, level codes.
 
     `panel` is a labelled panel; the delinquency maxima are added if it lacks them.
-    Levels default to those found in the panel.
+    Levels default to those found in the panel; without `encode` code columns stay text.
     """
     df = cleaning.select_present(panel, KEPT)
     if "max_dpd_3m" not in df.columns:
         df = history.rolling_max_dpd(df)
     df = joins.with_macro(add_features(df), macro)
     present = [c for c in schema.CATEGORICAL if c in df.columns]
-    df = encode_levels(df, present, levels, fit_on=panel)
+    if encode:
+        df = encode_levels(df, present, levels, fit_on=panel)
     return active(df.drop("modification_flag", "payment_deferral_flag"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from creditspark import schema
 from creditspark.functions import cleaning
+from creditspark.sources.ledger import file_ledger, readable
 
 
 def read_pipe(
@@ -29,22 +30,44 @@ def _year_from_folder(df: DataFrame) -> DataFrame:
     return df.select("*", F.nullif(found, F.lit("")).cast("int").alias(schema.VINTAGE))
 
 
-def read_origination(spark: SparkSession, root: str, skip_unreadable: bool = False) -> DataFrame:
-    """All `sample_YYYY` origination files: codes cleared, numbers cast, year from the folder."""
-    raw = read_pipe(
-        spark, f"{root}/sample_*/sample_orig_*.txt", schema.ORIGINATION_FIELDS,
-        skip_unreadable=skip_unreadable,
-    )
+def _chosen(
+    spark: SparkSession, pattern: str, fields: Sequence[str], skip_unreadable: bool, ledger: DataFrame | None,
+) -> DataFrame:
+    """The files of a pattern or, with a ledger, those that it lists as read."""
+    if ledger is None:
+        return read_pipe(spark, pattern, fields, skip_unreadable=skip_unreadable)
+    files = readable(ledger)
+    if not files:
+        raise ValueError("the ledger lists no file that can be read")
+    return read_pipe(spark, files, fields)
+
+
+def origination_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """The record of all `sample_YYYY` origination files (see `file_ledger`)."""
+    return file_ledger(spark, f"{root}/sample_*/sample_orig_*.txt*", schema.ORIGINATION_FIELDS)
+
+
+def performance_ledger(spark: SparkSession, root: str) -> DataFrame:
+    return file_ledger(spark, f"{root}/sample_*/sample_svcg_*.txt*", schema.PERFORMANCE_FIELDS)
+
+
+def read_origination(
+    spark: SparkSession, root: str, skip_unreadable: bool = False, ledger: DataFrame | None = None,
+) -> DataFrame:
+    """All `sample_YYYY` origination files: codes cleared, numbers cast, year from the folder.
+
+    With a ledger (`origination_ledger`) only the files that it lists as read, each read whole or not at all.
+    """
+    raw = _chosen(spark, f"{root}/sample_*/sample_orig_*.txt", schema.ORIGINATION_FIELDS, skip_unreadable, ledger)
     df = cleaning.clear_codes(_year_from_folder(raw), schema.ORIGINATION_CODES)
     return cleaning.cast_numeric(df, schema.ORIGINATION_NUMERIC)
 
 
-def read_performance(spark: SparkSession, root: str, skip_unreadable: bool = False) -> DataFrame:
+def read_performance(
+    spark: SparkSession, root: str, skip_unreadable: bool = False, ledger: DataFrame | None = None,
+) -> DataFrame:
     """All `sample_YYYY` performance files, cleaned in the same way."""
-    raw = read_pipe(
-        spark, f"{root}/sample_*/sample_svcg_*.txt", schema.PERFORMANCE_FIELDS,
-        skip_unreadable=skip_unreadable,
-    )
+    raw = _chosen(spark, f"{root}/sample_*/sample_svcg_*.txt", schema.PERFORMANCE_FIELDS, skip_unreadable, ledger)
     df = cleaning.clear_codes(_year_from_folder(raw), schema.PERFORMANCE_CODES)
     return cleaning.cast_numeric(df, schema.PERFORMANCE_NUMERIC)
 

@@ -12,7 +12,7 @@ from creditspark.models.scenarios import scenario_shock
 from creditspark.operators import joins, sampling, summaries
 from creditspark.plans import loan_master, loans
 from creditspark.scale import scratch_dir
-from creditspark.sources import read_pipe, read_table
+from creditspark.sources import append_delivery, file_ledger, read_deliveries, read_pipe, read_table
 from creditspark.workload import tables as t
 from creditspark.workload.registry import query
 
@@ -34,6 +34,37 @@ def _(spark, sf):
     return read_pipe(spark, path, names)
 
 
+@query("scan_ledger", """
+SELECT CAST(vintage_year AS VARCHAR) AS folder, 'read' AS status, count(*) AS rows, 0 AS wrong_rows FROM perf_fx GROUP BY 1""")
+def _(spark, sf):
+    """The record of one pipe-delimited file per vintage."""
+    names = [*ID, "current_loan_delinquency_status", "modification_flag", "zero_balance_code", "net_sale_proceeds"]
+    path = f"{scratch_dir(spark)}/scan-ledger-{uuid.uuid4().hex}"
+    rows = t.raw_performance(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in names], "vintage_year")
+    rows.repartition("vintage_year").write.partitionBy("vintage_year").options(sep="|", quote="", nullValue="").csv(path)
+    ledger = file_ledger(spark, f"{path}/*/part-*.csv", names)
+    folder = F.regexp_extract("file", r"vintage_year=(\d{4})/", 1)
+    return ledger.groupBy(folder.alias("folder"), "status").agg(
+        F.sum("rows").alias("rows"), F.sum("wrong_rows").cast("int").alias("wrong_rows"))
+
+
+@query("append_quarters", """
+SELECT CAST(monthly_reporting_period AS VARCHAR) AS period, count(*) AS n, count(DISTINCT loan_sequence_number) AS n_loans
+FROM (SELECT loan_sequence_number, monthly_reporting_period // 100 AS monthly_reporting_period FROM perf_fx) GROUP BY 1""")
+def _(spark, sf):
+    """Two deliveries that share no row, the first of them appended twice, the second late and in two versions."""
+    path = f"{scratch_dir(spark)}/quarters-{uuid.uuid4().hex}"
+    rows = t.raw_performance(spark, sf).withColumn("period", F.expr("monthly_reporting_period div 100"))
+    early = F.col("vintage_year") % 2 == 0
+    first, second = rows.where(early), rows.where(early.isNull() | ~early)
+    append_delivery(first, path, "first", "period")
+    append_delivery(second.where("loan_age < 20"), path, "second", "period")
+    append_delivery(first, path, "first", "period")
+    append_delivery(second, path, "second", "period")
+    return read_deliveries(spark, path, "period").groupBy(F.col("period").cast("string").alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("loan_sequence_number").alias("n_loans"))
+
+
 @query("scan_parquet_projected", "SELECT l_orderkey, l_partkey, l_shipdate FROM (SELECT l_orderkey, l_partkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate FROM lineitem)")
 def _(spark, sf):
     wanted = ["l_orderkey", "l_partkey", "l_shipdate", "not_a_column"]

@@ -69,8 +69,13 @@ FROM (SELECT loan_age, avg(pd_current) AS pd_marginal, count(pd_current) AS n_ob
 WHERE loan_age <= 360"""
 
 
+def active_scores(spark, sf):
+    """Scores and ages of rows in stage 1 or 2; both come from the performance rows, so no loan is joined."""
+    return t.with_scores(t.staged(spark, sf)).filter(F.col("ifrs9_stage").isin(1, 2))
+
+
 def curve(spark, sf):
-    active = t.scored(spark, sf).filter(F.col("ifrs9_stage").isin(1, 2))
+    active = active_scores(spark, sf)
     return curves.cumulative_pd(curves.marginal_pd_by_age(active, "pd_current"))
 
 
@@ -80,7 +85,7 @@ def _rounded(df, *names):
 
 @query("marginal_pd_by_age", "SELECT loan_age, round(pd_marginal, 6) AS pd_marginal, n_obs FROM (" + CURVE + ")")
 def _(spark, sf):
-    active = t.scored(spark, sf).filter(F.col("ifrs9_stage").isin(1, 2))
+    active = active_scores(spark, sf)
     return _rounded(curves.marginal_pd_by_age(active, "pd_current"), "pd_marginal")
 
 
@@ -138,6 +143,16 @@ def _(spark, sf):
     return _rounded(curves.lifetime_backtest_summary(backtest(spark, sf)), "mae", "mean_ratio")
 
 
+HORIZON_CELLS = ", ".join(
+    f"max(CASE WHEN horizon_months = {h} THEN {v} END) AS {n}_{h}" for h in (12, 24, 36, 48, 60)
+    for v, n in (("obs_default_rate", "obs"), ("abs_error", "error")))
+
+
+@query("lifetime_backtest_matrix", f"SELECT vintage_year, {HORIZON_CELLS} FROM ({BACKTEST_ROUNDED}) GROUP BY 1", curve=CURVE)
+def _(spark, sf):
+    return curves.backtest_matrix(backtest(spark, sf))
+
+
 # --- scenarios --------------------------------------------------------------
 
 # A given score of the shocked macro columns; any model takes its place.
@@ -153,11 +168,14 @@ def macro_score(df):
         - F.least(known("hpi", 300), F.lit(600.0)) / 300000)
 
 
-def scenario_results(spark, sf):
-    test = t.dataset(spark, sf).filter(F.col("vintage_year") == 2024).select(
+def scenario_rows(spark, sf):
+    return t.dataset(spark, sf, encode=False).filter(F.col("vintage_year") == 2024).select(
         "loan_age", "dpd_numerico", "hpi", "hpi_yoy_change", "unemployment_rate", "unemployment_yoy_change",
         "fed_funds_rate")
-    return scenarios.scenario_pd(test, macro_score)
+
+
+def scenario_results(spark, sf):
+    return scenarios.scenario_pd(scenario_rows(spark, sf), macro_score)
 
 
 SCENARIO_TABLES = {
@@ -188,3 +206,8 @@ def _(spark, sf):
 @query("weighted_pd", "SELECT round(sum(weight * pd_mean_12m), 6) AS weighted_pd FROM scenario_mean", **SCENARIO_TABLES)
 def _(spark, sf):
     return _rounded(scenarios.weighted_pd(scenario_results(spark, sf)), "weighted_pd")
+
+
+@query("scenario_curves", "SELECT scenario, loan_age, round(pd_lifetime, 6) AS pd_lifetime FROM scenario_curve", **SCENARIO_TABLES)
+def _(spark, sf):
+    return _rounded(scenarios.scenario_curves(scenario_rows(spark, sf), macro_score).select("scenario", "loan_age", "pd_lifetime"), "pd_lifetime")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from creditspark import schema
@@ -10,6 +12,8 @@ from creditspark.functions.binning import equal_width_histogram
 from creditspark.models.preprocessing import encode_levels
 from creditspark.operators import history, joins, summaries, transitions
 from creditspark.plans import loans
+from creditspark.scale import scratch_dir
+from creditspark.sources import write_buckets
 from creditspark.workload import tables as t
 from creditspark.workload.cleaning_queries import ID, LOAN_MONTH, SPLIT
 from creditspark.workload.registry import query
@@ -490,6 +494,17 @@ def _(spark, sf):
         *ID, "max_dpd_3m", "max_dpd_6m", "max_dpd_12m")
 
 
+@query("lookahead_default_buckets", f"SELECT {LOAN_MONTH}, default_12m, max_dpd_12m FROM labelled")
+def _(spark, sf):
+    """The labelled panel from tables stored in buckets of the loan: no exchange after the write."""
+    name = uuid.uuid4().hex
+    stored = {
+        kind: write_buckets(df, f"{kind}_{name}", f"{scratch_dir(spark)}/buckets-{name}/{kind}", buckets=8)
+        for kind, df in (("performance", t.performance(spark, sf)), ("origination", t.origination(spark, sf)))}
+    panel = loans.labelled_panel(stored["performance"], stored["origination"], rolling=True, trimmed=True)
+    return panel.select(*ID, "default_12m", "max_dpd_12m")
+
+
 def _moved(rows: int) -> str:
     return f"""
 SELECT * FROM (SELECT *, lead(ifrs9_stage, {rows}) OVER (PARTITION BY loan_sequence_number

@@ -170,10 +170,11 @@ def macro_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro.macro_monthly(macro_series(spark, sf_dir))
 
 
-def dataset(spark: SparkSession, sf_dir: str, with_macro: bool = True) -> DataFrame:
+def dataset(spark: SparkSession, sf_dir: str, with_macro: bool = True, encode: bool = True) -> DataFrame:
+    """Modelling rows; without `encode` code columns stay text and no levels are looked for."""
     return loans.feature_dataset(
         labelled(spark, sf_dir, rolling=True), macro_table(spark, sf_dir) if with_macro else None,
-        levels(spark, sf_dir),
+        levels(spark, sf_dir) if encode else None, encode=encode,
     )
 
 
