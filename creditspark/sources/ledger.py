@@ -13,8 +13,13 @@ READ, UNREADABLE, WRONG_FIELDS, EMPTY = "read", "unreadable", "wrong fields", "e
 LEDGER = "file string, bytes long, status string, rows long, wrong_rows long"
 
 
+def _plain(file: str) -> str:
+    """One spelling for local files."""
+    return file.replace("file:///", "file:/")
+
+
 def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """file and bytes of all files that the paths or patterns name; no content is read."""
+    """file and bytes of all files with content that the paths or patterns name; none is read."""
     found = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
     return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
@@ -61,12 +66,13 @@ def file_ledger(
     `most_wrong` of its lines have another number of fields than the layout; `empty`: no line; else `read`.  The text is
     read once; the driver holds the names and counts of files, never their lines.
     """
-    sizes = {r["file"]: r["bytes"] for r in list_files(spark, path).collect()}
-    counts, bad = _searched(spark, sorted(sizes), len(fields), sep)
-    known = {f.replace("file:///", "file:/"): (n, wrong) for f, n, wrong in counts}
+    sizes = {_plain(r["file"]): r["bytes"] for r in list_files(spark, path).collect()}
+    sizes = {_plain(f): 0 for f in spark.read.text(path if isinstance(path, str) else list(path)).inputFiles()} | sizes
+    counts, bad = _searched(spark, sorted(f for f, size in sizes.items() if size), len(fields), sep)
+    known = {_plain(f): (n, wrong) for f, n, wrong in counts}
     rows = []
     for file, size in sorted(sizes.items()):
-        n, wrong = known.get(file.replace("file:///", "file:/"), (0, 0))
+        n, wrong = known.get(file, (0, 0))
         if file in bad:
             rows.append((file, size, UNREADABLE, None, None))
         else:
