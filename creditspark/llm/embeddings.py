@@ -237,7 +237,7 @@ def near_copies(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     some = shelf.keep(_by_members(judged.where("verdict = 'some'").select("i", "j"), members, nodes, least))
     whole = judged.where("verdict = 'all'")
     labels = components(whole.select("i", "j").unionByName(some.select("i", "j").distinct()).select(
-        F.col("i").alias("node"), F.col("j").alias("centre")), shelf.keep)
+        F.col("i").alias("node"), F.col("j").alias("centre")), shelf)
     by_unit = whole.select(F.col("i").alias("unit"), F.col("wj").alias("n")).unionByName(
         whole.select(F.col("j").alias("unit"), F.col("wi").alias("n"))).groupBy("unit").agg(F.sum("n").alias("linked"))
     by_node = some.groupBy("node").agg(F.sum("n").alias("more"))

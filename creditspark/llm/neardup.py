@@ -10,17 +10,15 @@ Only darts up to a rank limit of about (K ln K + 2 K) / (total weight) are made,
 signature costs about one hash per shingle; documents with an empty coordinate double the limit.
 
 Bands.  ROWS coordinates make a band, documents that share a band meet in a bucket.  At similarity 0.8 a
-pair misses all bands with probability 7e-6.
-
-Links.  Documents with equal shingle sets are one node from the start (pre-aggregated, any number of copies).
-In each bucket every node is compared with one centre, and the pair is judged by the exact
-weighted Jaccard similarity of the two texts.  Classes are the connected components of the links.
-A bucket whose nodes ended in more than one class goes on.  In a bucket of at most SMALL nodes, or with
-at most FEW nodes outside its largest class, those outside are compared with all nodes of other classes.  Another one, as documents with one passage in common fill it, is split by every further
-band that its nodes share: similar documents share about ten of the thirty (one alone with a probability of 1e-4 at 0.8, far
-less above), so they meet again, in smaller buckets.  SMALL is four times as large after each split, so splitting ends; what
-is compared in full by then are texts that share several bands, just below the threshold.  Copies of
-one text, and texts that only have a passage in common, never expand into all pairs.
+pair misses all bands with probability 2e-4, at 0.85 with 2e-6; at 0.4 it meets with 6 %.
+
+Links.  Documents with equal shingle sets are one node from the start (pre-aggregated, any number of copies).  Pairs of a bucket are
+screened inside tasks by one byte per coordinate: a pair goes on if as many agree as at similarity 0.8, less four standard deviations
+(which 3e-5 of the pairs at 0.8 miss), and is judged by the exact weighted Jaccard similarity of the two texts.  Classes are
+the connected components of the links.  In the first turn every node is compared with one centre per bucket (per block of a large one),
+which links most copies.  In the second all nodes of a bucket that are still in different classes are compared with each other, in blocks of at most BLOCK
+by BLOCK nodes; nodes of the bucket's largest class are not compared with each other.  Only pairs that pass the screen are
+written, so copies, and texts that only have a passage in common, never expand into all pairs.
 
 Defined cases: a null text counts as empty; texts without words are in one class exactly if they are equal; rows
 that share a doc_id count as one document, a null doc_id has no partners and class null; extra columns are ignored.
@@ -28,7 +26,7 @@ that share a doc_id count as one document, a null doc_id has no partners and cla
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.llm import words as W
-from creditspark.llm.common import pieces, stored, unused
+from creditspark.llm.common import Shelf, pieces, stored, unused
 
-ROWS, BANDS = 5, 30
+ROWS, BANDS = 7, 36
 COORDINATES = ROWS * BANDS
 SIMILARITY = 0.8
 _ONE = np.uint64(1)
 #: Ids up to which a table of ids is broadcast: 8 bytes each.
 BROADCAST_IDS = 500_000
-#: Nodes of a bucket, or nodes outside its largest class, up to which those outside are compared with all others.
-SMALL, FEW = 10, 4
+#: Nodes of a bucket that are compared with one centre, and nodes that are compared with each other, at once.
+STAR, BLOCK = 4096, 512
+#: Coordinates of two signatures compared at once.
+COMPARED = 1 << 23
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def _longs(x) -> pa.Array:
 
 
 def sketches(docs: DataFrame, kind: str = "set") -> DataFrame:
-    """doc_id, a 128-bit name (f1, f2) of the weighted shingle set, and the band names (none without words)."""
+    """doc_id, a 128-bit name (f1, f2) of the weighted shingle set, and the band names and `sig`, a byte per coordinate (none without words)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -127,6 +127,7 @@ def sketches(docs: DataFrame, kind: str = "set") -> DataFrame:
             f2 = np.zeros(len(sets), np.uint64)
             full = [i for i, s in enumerate(sets) if len(s[0])]
             bands: list = [[] for _ in sets]
+            small: list = [None] * len(sets)
             for i, s in enumerate(sets):
                 if len(s[0]):
                     own = W.mix(s[0] + s[1].astype(np.uint64) * W.BASE)
@@ -137,15 +138,16 @@ def sketches(docs: DataFrame, kind: str = "set") -> DataFrame:
                     f1[i] = W.range_names(raw, np.array([0]), np.array([n]))[0] if n else np.uint64(1)
                     f2[i] = np.uint64(n)
             if full:
-                for i, row in zip(full, _bands(signatures([sets[i] for i in full]))):
-                    bands[i] = row
+                sig = signatures([sets[i] for i in full])
+                for i, row, byte in zip(full, _bands(sig), (sig >> np.uint64(40)).astype(np.uint8)):
+                    bands[i], small[i] = row, byte.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), _longs(f1), _longs(f2), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "f1", "f2", "bands"])
+                [b.column("doc_id"), _longs(f1), _longs(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())],
+                ["doc_id", "f1", "f2", "bands", "sig"])
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        made, f"doc_id {kind_of_id}, f1 long, f2 long, bands array<long>")
+        made, f"doc_id {kind_of_id}, f1 long, f2 long, bands array<long>, sig binary")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> DataFrame:
@@ -191,25 +193,27 @@ def _settled(edges: DataFrame) -> bool:
     return chained.unionByName(forked).limit(1).isEmpty()
 
 
-def components(links: DataFrame, stored: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """node and label, the smallest node of its component, from links (node, centre) of any direction.
 
     Alternating stars: each node's larger neighbours, then its smaller ones, hang on to its smallest neighbour, until
     all links lead to the label.  The tables stay distributed; a node with many links
-    is one side of a join that can be split, since both sides are stored (by `stored`).
+    is one side of a join that can be split, since both sides are stored.  Tables of earlier turns are deleted.
     """
-    edges = stored(links.select(
+    edges = shelf.keep(links.select(
         F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).where("u <> v").distinct())
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(
+        least = shelf.keep(both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("w"), F.least("u", "m").alias("m")))
         large = both.where("v > u").join(_merge(least), F.col("u") == F.col("w"))
-        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        below = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"))
+        large = shelf.keep(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        below = shelf.keep(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"))
         small = large.join(_merge(below), F.col("u") == F.col("w")).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.where("u <> v").distinct())
+        further = shelf.keep(small.where("u <> v").distinct())
+        shelf.drop(edges, least, large, below)
+        edges = further
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -224,62 +228,138 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    return stored(pairs.distinct().join(_merge(tested), ["node", "centre"], "left_anti"))
-
-
-def _labels(met: DataFrame, bands: DataFrame, texts: DataFrame, least: float, kind: str) -> DataFrame:
-    """Labels of the nodes that meet in the buckets of `met` (bucket, node, centre)."""
-    tested = stored(met.where("node <> centre").select("node", "centre").distinct())
-    links = stored(_similar(tested, texts, least, kind))
-    labels = components(links)
-    met, limit = met.select("bucket", "node"), SMALL
-    while True:
-        placed = stored(_with_label(met, labels))
-        open_ = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(
-            F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-        open_ = stored(open_.where("labels > 1").select("bucket", F.col("most.label").alias("main"), (
-            (F.col("n") <= limit) | (F.col("n") - F.col("most.count") <= FEW)).alias("small")))
-        small = stored(placed.join(_merge(open_.where("small")), "bucket"))
-        other = stored(small.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("of")))
-        pairs = small.join(_merge(other), "bucket").where("label <> of").select(
-            F.greatest("node", "a").alias("node"), F.least("node", "a").alias("centre"))
-        pairs = _untested(pairs, tested)
-        found = stored(_similar(pairs, texts, least, kind))
-        if not found.isEmpty():
-            links = stored(links.unionByName(found))
-            labels = components(links)
-        large = stored(open_.where("not small").select("bucket"))
-        if large.isEmpty():
-            return labels
-        tested = stored(tested.unionByName(pairs))
-        # the other buckets are split by each further band that their nodes have in common
-        split = placed.select("bucket", "node").join(_merge(large), "bucket").join(_merge(bands), "node").select(
-            "node", "bucket", F.explode("bands").alias("band")).where("bucket <> band")
-        met = stored(split.select(F.xxhash64("bucket", "band").alias("bucket"), "node"))
-        limit *= 4
+def least_agreement(least: float, coordinates: int = COORDINATES) -> int:
+    """Coordinates that agree at similarity `least`, less four standard deviations."""
+    return max(int(np.ceil(coordinates * least - 4 * np.sqrt(coordinates * least * (1 - least)))), 1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """One batch per group of rows that stand together with equal keys."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            own = tuple(c[i] for c in columns)
+            if held and own != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = own
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _pairs_out(ids: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["node", "centre"])
+
+
+def _star_pairs(met: DataFrame, groups: DataFrame, need: int) -> DataFrame:
+    """Nodes and the centre of their block of a bucket that agree in `need` coordinates; another centre in every bucket."""
+    block = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / STAR))
+    rows = met.withColumn("block", block).join(_merge(groups.select(F.col("node").alias("_n"), "sig")), F.col("node") == F.col("_n")).select(
+        "bucket", "block", F.xxhash64("bucket", "node").alias("turn"), "node", "sig")
+    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "turn", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["bucket", "block"]):
+            sig = _bytes(g.column("sig"))
+            near = np.flatnonzero((sig == sig[0]).sum(1) >= need)
+            near = near[near > 0]
+            if len(near):
+                yield _pairs_out(g.column("node"), near, np.zeros(len(near), np.int64))
+
+    t = met.schema["node"].dataType.simpleString()
+    return rows.mapInArrow(run, f"node {t}, centre {t}").select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")).distinct()
+
+
+def _cross_pairs(placed: DataFrame, groups: DataFrame, need: int, shelf: Shelf) -> DataFrame:
+    """Nodes of a bucket with different labels that agree in `need` coordinates."""
+    per = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(
+        F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("labels"))
+    open_ = shelf.keep(per.where("labels > 1").select(
+        F.col("bucket").alias("_b"), F.col("most.label").alias("main"),
+        F.ceil(F.col("most.count") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("most.count")) / BLOCK).alias("others")))
+    rows = placed.join(_merge(open_), F.col("bucket") == F.col("_b")).withColumn("of_main", F.col("label") == F.col("main"))
+    spread = F.xxhash64("node", "bucket")
+    own = F.when(F.col("of_main"), F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # blocks of the largest class meet all blocks of the others (0, i, j), those meet each other (1, i, j) with i <= j
+    first = F.transform(upto(F.col("others")), lambda j: F.struct(F.lit(0).alias("k"), F.col("own").alias("i"), j.alias("j")))
+    second = F.concat(
+        F.transform(upto(F.col("mains")), lambda i: F.struct(F.lit(0).alias("k"), i.alias("i"), F.col("own").alias("j"))),
+        F.transform(upto(F.col("others")), lambda o: F.struct(
+            F.lit(1).alias("k"), F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
+    rows = rows.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("of_main"), first).otherwise(second)))
+    rows = rows.join(_merge(groups.select(F.col("node").alias("_n"), "sig")), F.col("node") == F.col("_n"))
+    rows = rows.select("bucket", "at.k", "at.i", "at.j", (F.col("of_main") | (F.col("own") == F.col("at.i"))).alias("left"),
+                       (~F.col("of_main") & ((F.col("at.k") == 0) | (F.col("own") == F.col("at.j")))).alias("right"),
+                       F.xxhash64("label").alias("label"), "node", "sig")
+    rows = rows.repartition("bucket", "k", "i", "j").sortWithinPartitions("bucket", "k", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["bucket", "k", "i", "j"]):
+            sig, label = _bytes(g.column("sig")), g.column("label").to_numpy()
+            kind = g.column("k")[0].as_py()
+            is_left, is_right = (g.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "right"))
+            left = np.flatnonzero(is_left & ~is_right) if kind == 0 else np.flatnonzero(is_left)
+            right = np.flatnonzero(is_right)
+            if not len(left) or not len(right):
+                continue
+            step = max(COMPARED // (len(right) * sig.shape[1]), 1)
+            for at in range(0, len(left), step):
+                a = left[at:at + step]
+                hit = (sig[a][:, None, :] == sig[right][None, :, :]).sum(2) >= need
+                hit &= label[a][:, None] != label[right]
+                p, q = np.nonzero(hit)
+                if len(p):
+                    yield _pairs_out(g.column("node"), a[p], right[q])
+
+    t = placed.schema["node"].dataType.simpleString()
+    return rows.mapInArrow(run, f"node {t}, centre {t}").select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre")).distinct()
+
+
+def _labels(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float, kind: str, shelf: Shelf) -> DataFrame:
+    """Labels of the nodes that meet in the buckets of `met` (bucket, node, n)."""
+    need = least_agreement(least)
+    tested = shelf.keep(_star_pairs(met, groups, need))
+    links = shelf.keep(_similar(tested, texts, least, kind))
+    placed = shelf.keep(_with_label(met.select("bucket", "node"), components(links, shelf)))
+    more = _cross_pairs(placed, groups, need, shelf).join(_merge(tested), ["node", "centre"], "left_anti")
+    found = shelf.keep(_similar(shelf.keep(more), texts, least, kind))
+    return components(links.unionByName(found), shelf)
+
+
+def _classes(docs: DataFrame, least: float, kind: str, shelf: Shelf) -> DataFrame:
+    base = shelf.keep(sketches(docs, kind))
+    groups = shelf.keep(base.where("doc_id is not null").groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
+    members = groups.select("node", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = shelf.keep(members.join(_merge(buckets), F.col("bucket") == F.col("_b")).select("bucket", "node", "n"))
+    wanted = _few(shelf.keep(met.select(F.col("node").alias("_id")).distinct()))
+    texts = shelf.keep(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"))
+    named = _with_label(groups.select("f1", "f2", "node"), _labels(met, groups, texts, least, kind, shelf))
+    out = base.select("doc_id", "f1", "f2").join(_merge(named), ["f1", "f2"], "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("class_id"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, kind: str = "set") -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class), one row per row of `docs`."""
-    base = stored(sketches(docs, kind))
-    groups = stored(base.where("doc_id is not null").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("node"), F.min("bands").alias("bands")))
-    members = groups.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
-    buckets = stored(buckets.where("n > 1").select("bucket", "centre"))
-    met = stored(members.join(_merge(buckets), "bucket").select("bucket", "node", "centre"))
-    wanted = _few(stored(met.select(F.col("node").alias("_id")).distinct()))
-    texts = stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"))
-    labels = _labels(met, groups.select("node", "bands"), texts, least, kind)
-    named = stored(_with_label(groups.select("f1", "f2", "node"), labels))
-    out = base.select("doc_id", "f1", "f2").join(_merge(named), ["f1", "f2"], "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("class_id"))
+    shelf = Shelf(docs.sparkSession)
+    return shelf.close(_classes(docs, least, kind, shelf))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class, that with the smallest doc_id, all columns; rows without a doc_id stay."""
-    found = stored(classes(docs, least))
+    found = classes(docs, least)
     gone, twice = unused(docs, "_gone"), unused(docs, "_twice")
     ids = _few(stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias(gone)).distinct()))
     kept = docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from creditspark.llm import neardup as N
+from creditspark.llm.common import Shelf
 from test_llm_words import shingle_tuples
 
 
@@ -52,10 +53,11 @@ def documents():
     return rows
 
 
-@pytest.mark.parametrize("small", [1, 10])
-def test_classes_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "FEW", small // 3)
+@pytest.mark.parametrize("star, block, compared", [(N.STAR, N.BLOCK, N.COMPARED), (7, 3, 500)])
+def test_classes_equal_brute_force(spark, monkeypatch, star, block, compared):
+    monkeypatch.setattr(N, "STAR", star)
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "COMPARED", compared)
     rows = documents()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, label int")
     out = N.classes(df).collect()
@@ -69,6 +71,21 @@ def test_classes_equal_brute_force(spark, monkeypatch, small):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 2
 
 
+def test_a_bucket_of_many_classes_is_compared_in_blocks(spark, monkeypatch):
+    """Nodes that all share their buckets: the screen decides, whatever the blocks."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 256, (9, N.COORDINATES))
+    rows = [(int(10 * c + k), bytes(np.where(rng.random(N.COORDINATES) < 0.05, 255 - centres[c], centres[c]).astype(np.uint8)), c if k < 3 else 100 + 10 * c + k)
+            for c in range(9) for k in range(6)]
+    groups = spark.createDataFrame([(n, bytearray(s)) for n, s, _ in rows], "node long, sig binary")
+    placed = spark.createDataFrame([(b, n, int(label)) for b in (1, 2) for n, _, label in rows], "bucket long, node long, label long")
+    need = N.least_agreement(0.8)
+    got = {(r.node, r.centre) for r in N._cross_pairs(placed, groups, need, Shelf(spark)).collect()}
+    agree = lambda x, y: sum(p == q for p, q in zip(x, y)) >= need
+    assert got == {(a, b) for a, x, p in rows for b, y, q in rows if a > b and p != q and agree(x, y)} and got
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.classes(df).collect() == [] and N.keep_one(df).collect() == []
@@ -88,5 +105,5 @@ def test_signatures_agree_as_often_as_weights_do():
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "node long, centre long")
-    labels = {r.node: r.label for r in N.components(links).collect()}
+    labels = {r.node: r.label for r in N.components(links, Shelf(spark)).collect()}
     assert labels == {**{i: 0 for i in range(1, 61)}, 101: 100}
