@@ -41,13 +41,12 @@ WITH pages AS (
 ), hosts AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 found AS (
   SELECT c.source, c.line FROM counted c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE c.n >= 5 AND c.n * 1.0 / h.total > 0.1
+  WHERE c.n > 1 AND c.n * 1.0 / h.total > 0.1
 ), slim AS (
   SELECT c.page, coalesce(string_agg(c.line, chr(10) ORDER BY c.place) FILTER (WHERE f.line IS NULL), '') AS text
   FROM cut c LEFT JOIN found f ON c.line = f.line AND c.source IS NOT DISTINCT FROM f.source GROUP BY c.page
 ), chosen AS (
-  SELECT p.*, CASE WHEN p.text IS NULL THEN NULL WHEN length(s.text) < length(p.text) * 0.5 THEN p.text
-                   ELSE s.text END AS new FROM pages p LEFT JOIN slim s USING (page)
+  SELECT p.*, CASE WHEN p.text IS NOT NULL THEN s.text END AS new FROM pages p LEFT JOIN slim s USING (page)
 )
 SELECT doc_id, new AS text, lang, source,
        CASE WHEN new IS NOT DISTINCT FROM text THEN n_chars ELSE length(new) END AS n_chars FROM chosen
