@@ -225,9 +225,13 @@ def _card(text: str, key: str) -> str:
     return _put(text, [*made, _check_digit(made)])
 
 
+def _american(digits: list[int]) -> bool:
+    return len(digits) == 10 or len(digits) == 11 and digits[0] == 1
+
+
 def _phone(text: str, key: str) -> str:
     digits = [int(c) for c in text if c.isdigit()]
-    american = len(digits) == 10 or len(digits) == 11 and digits[0] == 1
+    american = _american(digits)
     kept = len(digits) - 10 if american else min(2, len(digits) - 1)
     own = digits[kept:]
     if american:
@@ -242,8 +246,16 @@ def _phone(text: str, key: str) -> str:
     return _put(text, digits[:kept] + [d + b for d, b in zip(made, low)])
 
 
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
 def _secret(text: str, key: str) -> str:
-    return _characters(text, key, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None)
+    """Hexadecimal stays hexadecimal; others go on until the outcome is not, so the two never meet."""
+    hexadecimal = _HEX.fullmatch(text) is not None
+    out = _characters(text, key, hexadecimal=hexadecimal)
+    while not hexadecimal and _HEX.fullmatch(out):
+        out = _characters(out, key)
+    return out
 
 
 def _from_list(name: str, names: tuple[str, ...], key: str) -> str:
@@ -366,10 +378,13 @@ def replaced(text: str, key: str = KEY) -> tuple[str, list[tuple[str, str, str]]
 
 
 def _same(kind: str, text: str) -> str:
-    """The spelling under which an entity counts as the same."""
+    """The spelling under which an entity counts as the same; a phone number with its country, but for the 1 before ten digits."""
     if kind in ("ip", "given", "surname", "secret", "access"):
         return text
-    return text.lower() if kind == "email" else "".join(c for c in text if c.isdigit())[-10 if kind == "phone" else 0:]
+    if kind == "email":
+        return text.lower()
+    digits = "".join(c for c in text if c.isdigit())
+    return digits[-10:] if kind == "phone" and _american([int(c) for c in digits]) else digits
 
 
 def entities(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -123,3 +123,18 @@ def test_bare_mentions_get_the_same_surrogate():
     assert third.startswith(f"Later {given} left, ") and third.endswith(" Smithson Johnny Smith2") and len(made) == 6
     assert P.replaced("Smith and John")[1] == []  # nobody is named in full
     assert P.replaced("Never Miss The Show. The end.")[0].endswith(" The end.")
+
+
+def test_numbers_of_two_countries_are_two_entities(spark):
+    docs = spark.createDataFrame([(1, "call +44 12 3456 7890 now"), (2, "call +33 12 3456 7890 now"), (3, "or +1 269 555 3296"), (4, "or 269-555-3296")], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_entities) for r in P.protect(docs).collect()}
+    assert all(n == 1 for _, n in out.values()) and out[1][0][:8] == "call +44" and out[2][0][:8] == "call +33"
+    digits = lambda i: "".join(c for c in out[i][0] if c.isdigit())
+    assert digits(3)[-10:] == digits(4) and digits(1) != digits(2)
+
+
+def test_secrets_of_two_alphabets_never_meet():
+    made = {P.surrogate("secret", a, "k") for a in ("ab12" * 8, "gh12" * 8, "AB12" * 8, "zz99" * 8)}
+    assert len(made) == 4
+    short = [a + b for a in "abcdefghij" for b in "abcdefghij"]
+    assert len({P.surrogate("secret", s, "k") for s in short}) == len(short)
