@@ -13,7 +13,8 @@ Components are integers floor(256 * x); products are exact: in double precision
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows with a null
 id; vectors of different lengths have no score; rows with the query's id are the query's own; a repeated query id
 is searched once, with its smallest vector; a query with fewer than k candidates returns them all;
-extra columns are ignored.
+extra columns are ignored; vectors so long (2**31 after scaling) that a score could
+pass 62 bits raise an error.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditspark.llm.common import stored
+from creditspark.llm.common import Shelf
 
 K = 5
 #: Queries scored in one pass.
@@ -165,16 +166,19 @@ def search(vectors: DataFrame, every: int = 50, k: int = K, block: int = BLOCK)
 
     Queries are the rows whose id is divisible by `every`.
     """
-    rows = quantized(vectors)
-    queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
+    shelf = Shelf(vectors.sparkSession)
+    rows = shelf.keep(quantized(vectors))
+    queries = shelf.keep(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
     squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    found = False
     longest = float(np.sqrt(rows.agg(F.max(squares)).first()[0] or 0.0))
-    out = None
+    if longest**2 >= 2.0**62:
+        raise ValueError("components are too large: scores would not fit into 64 bits")
+    path = f"{shelf.folder}/found"
     for b in _blocks(queries, longest, k, block):
         _narrow(rows, b, k)
-        part = _selected(rows, b, k)
-        if out is None:
-            out = part
-            continue
-        out = stored(out.unionByName(part))
-    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
+        _selected(rows, b, k).write.mode("append").parquet(path)  # a block is written once
+        found = True
+    shelf.drop(rows, queries)
+    schema = "query_id long, rank int, vec_id long, score long"
+    return vectors.sparkSession.read.schema(schema).parquet(path) if found else vectors.sparkSession.createDataFrame([], schema)

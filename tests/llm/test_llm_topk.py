@@ -39,3 +39,11 @@ def test_large_components_fewer_candidates_and_empty(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, T.search(df, 2, 5).collect())) == brute(rows, 2, 5)
     assert T.search(df.limit(0)).collect() == [] and T.search(df.where("vec_id = 0"), 2).collect() == []
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(0, [2.0**24]), (1, [-(2.0**24)])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        T.search(df, 2, 5)
+    assert sorted(map(tuple, T.search(df.selectExpr("vec_id", "transform(embedding, x -> x / 8) AS embedding"), 1, 5, 1).collect())) == [
+        (0, 1, 1, -(2**58)), (1, 1, 0, -(2**58))]
