@@ -38,7 +38,7 @@ def test_nulls_repeats_extra_columns_and_few_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     out = Q.quality_scores(docs, empty).collect()
     assert len(out) == 5 and {r.score for r in out} == {0.5} and {r.predicted for r in out} == {1}
-    one = spark.createDataFrame([(4, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    one = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     assert {r.predicted for r in Q.quality_scores(docs, one).collect()} == {0}
     assert Q.quality_scores(docs.limit(0), empty).collect() == []
     assert Q.keep_good(docs, empty).columns == docs.columns
