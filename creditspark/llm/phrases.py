@@ -35,12 +35,14 @@ TOP = 2000
 SCALE = 2_000_000
 #: Words, or edges of the trie, that are broadcast at once.
 SHARD = 500_000
+#: Positions that a task counts for each edge it may report, so that counts stay few beside the text.
+POSITIONS = 64
 #: Distinct words a task counts before it hands them on.
-HELD = 200_000
+HELD = 100_000
 #: Positions of a row; as many words of the next row follow as a phrase can reach into, then a 0.
 ROW = 512
 #: Positions whose pairs of states are counted together in a task.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -96,7 +98,7 @@ def _rows(numbers: np.ndarray, reach: int) -> Iterator[np.ndarray]:
 
 
 def _encoded(docs: DataFrame, shards: Iterator[dict], reach: int, shelf: Shelf) -> DataFrame:
-    """ids (word numbers, stored) and nodes (the same: the states after one word)."""
+    """ids (word numbers), stored."""
     context = docs.sparkSession.sparkContext
     rows = docs.select("lang", "text").withColumn("ids", F.lit(None).cast("array<long>"))
     before = None
@@ -122,7 +124,7 @@ def _encoded(docs: DataFrame, shards: Iterator[dict], reach: int, shelf: Shelf)
         if before is not None:
             shelf.drop(before)
         rows = before = made
-    return rows.withColumn("nodes", F.col("ids"))
+    return rows
 
 
 def _number(batch: pa.RecordBatch, words: dict) -> Iterator[np.ndarray]:
@@ -256,8 +258,13 @@ def _candidates(rows: DataFrame, size: int, least: int) -> DataFrame:
     return made.groupBy("parent", "suffix", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def _advanced(rows: DataFrame, edges: DataFrame, n_edges: int, first: int, size: int, last: bool, shelf: Shelf) -> tuple[DataFrame | None, DataFrame]:
-    """Rows whose nodes stand for `size` words, and the counts (id, f) of the accepting states."""
+def _advanced(rows: DataFrame, edges: DataFrame, n_edges: int, size: int, n_words: int, last: bool, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """ids and next (the nodes that stand for `size` words), stored, and the counts (id, f) of the accepting states.
+
+    A task reports each edge once, so there are as many tasks as the cluster runs at once, or as make POSITIONS positions per edge.
+    """
+    first = 1
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, n_words // (POSITIONS * min(n_edges, SHARD))))
     context = rows.sparkSession.sparkContext
     counts, before = None, None
     long = "array<long>"
@@ -301,7 +308,7 @@ def _advanced(rows: DataFrame, edges: DataFrame, n_edges: int, first: int, size:
             shelf.drop(before)
         before = made
         rows = made.where("ids is not null").drop("node", "n")
-    return rows.select("ids", F.col("next").alias("nodes")), counts
+    return made, counts
 
 
 def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[DataFrame, list[DataFrame]]:
@@ -311,6 +318,7 @@ def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[Da
     """
     counted = shelf.keep(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()))
     totals = counted.where("word is null").select("lang", "n")
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
     words = numbered(counted.where("word is not null").withColumnRenamed("n", "f"), [F.desc("f"), "lang", "word"], shelf, "id")
     n_words = words.count()
     levels = [words.select("id", "lang", F.col("word").alias("text"), "f")]
@@ -322,14 +330,17 @@ def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[Da
                 shard[r["lang"]][r["word"].encode()] = r["id"]
             yield dict(shard), start + SHARD > n_words
 
-    rows = _encoded(docs, shards(), longest - 1, shelf)
+    held = _encoded(docs, shards(), longest - 1, shelf)
+    rows = held.withColumn("nodes", F.col("ids"))
     for size in range(2, longest + 1):
         edges = numbered(shelf.keep(_candidates(rows, size - 1, least)), ["parent", "suffix"], shelf, "id")
         n_edges = edges.count()
         if not n_edges:
             break
-        rows, counts = _advanced(rows, edges, n_edges, 1, size, size == longest, shelf)
+        further, counts = _advanced(rows, edges, n_edges, size, all_words, size == longest, shelf)
         levels.append(shelf.keep(edges.drop("n", "word").join(counts, "id").where(F.col("f") >= least)))
+        shelf.drop(held)  # only the rows of the newest level are read again
+        held, rows = further, further.where("ids is not null").select("ids", F.col("next").alias("nodes"))
     return totals, levels
 
 
