@@ -44,14 +44,16 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) ->
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) -> DataFrame:
     """The rows and columns of `docs` with boilerplate lines taken out of `text`."""
     found = stored(boilerplate(docs, host, ratio))
-    of, bad = (unused(docs, c) for c in ("_host", "_lines"))
+    of, bad, slim = (unused(docs, c) for c in ("_host", "_lines", "_slim"))
     sets = found.groupBy(F.col("host").alias(of)).agg(F.collect_list("line").alias(bad))
     if found.count() <= BROADCAST_LINES:
         sets = F.broadcast(sets)
     joined = docs.join(sets, F.col(host).eqNullSafe(F.col(of)), "left")
     kept = F.array_join(F.filter(
         F.split("text", "\n", -1), lambda x: (F.trim(x) == "") | ~F.array_contains(bad, F.xxhash64(x))), "\n")
-    text = F.when(F.col(bad).isNull(), F.col("text")).otherwise(kept)
+    # a column of its own, so that the lines of a text are cut once
+    joined = joined.withColumn(slim, F.when(F.col(bad).isNull(), F.col("text")).otherwise(kept))
+    text = F.col(slim)
     columns = {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(text.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(
