@@ -26,6 +26,9 @@ HOT_ROWS = 5_000_000
 CHUNK_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 CELL_BITS = 12
+#: Cells of a histogram in the selection of quantiles, and its passes at most.
+CELLS = 1024
+PASSES = 8
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -334,33 +337,92 @@ def quantiles(
         times = F.col(frequency) if frequency else F.lit(1)
         return df.groupBy(*groups).agg(*aggs, F.percentile(value, wanted, times).alias(name))
 
-    known = F.count(value) if frequency is None else F.sum(F.when(F.col(value).isNotNull(), F.col(frequency)).otherwise(0))
-    counts = df.groupBy(*groups, value).agg(known.alias("_n"))
-    totals = running_totals(counts, value, ["_n"], groups)
-
-    def at(rank: Column) -> Column:
-        holds = (F.col("cum__n") - F.col("_n") <= rank) & (rank < F.col("cum__n"))
-        return F.max(F.when(holds, F.col(value).cast("double")))
-
-    picks = []
-    for i, p in enumerate(probs):
-        position = (F.col("all__n") - 1) * F.lit(float(p))
-        picks += [
-            at(F.floor(position)).alias(f"_lo{i}"),
-            at(F.ceil(position)).alias(f"_hi{i}"),
-            F.max(position - F.floor(position)).alias(f"_t{i}"),
-        ]
-    picked = totals.groupBy(*groups).agg(*picks)
-    result = picked.select(
-        *groups,
-        F.array(*[
-            F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(
-                (1 - F.col(f"_t{i}")) * F.col(f"_lo{i}") + F.col(f"_t{i}") * F.col(f"_hi{i}")
-            )
-            for i in range(len(probs))
-        ]).alias(name),
-    ).withColumn(name, F.when(F.col(name)[0].isNotNull(), F.col(name)))
+    result = _selected(df, value, probs, groups, name, frequency)
     if not aggs:
         return result
     rest = df.groupBy(*groups).agg(*aggs)
     return attach(rest, result, groups)
+
+
+def _cell(value: Column, low: Column, high: Column) -> Column:
+    """The cell of [low, high] that holds a value, in the order of the values; infinities and NaN have cells of their own.
+
+    Differences are taken of halves, so they never overflow; an interval too narrow for that is one cell.
+    """
+    width = high / 2 - low / 2
+    share = F.when(width > 0, (value / 2 - low / 2) / F.when(width > 0, width))
+    inside = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)).cast("int")
+    return (F.when(F.isnan(value), F.lit(CELLS + 1)).when(value == float("inf"), F.lit(CELLS))
+            .when(value == float("-inf"), F.lit(-1)).otherwise(inside))
+
+
+def _selected(
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str], name: str, frequency: str | None,
+) -> DataFrame:
+    """Exact quantiles by selection: histograms that are refined around the wanted ranks of all groups at once.
+
+    Each pass counts the values of the open intervals in CELLS cells, pre-aggregated, and keeps the cell that holds a
+    rank, narrowed to its smallest and largest value, until the two are equal.  What is shuffled is bounded by groups, ranks and
+    CELLS, not by the distinct values.  As soon as the open intervals hold no more rows than one task should (`chunkRows`), or
+    after PASSES passes, the rest is counted per value.
+    """
+    groups, chunk = list(groups), _setting(df, "chunkRows", CHUNK_ROWS)
+    weight = F.lit(1) if frequency is None else F.col(frequency)
+    rows = df.select(*groups, F.col(value).cast("double").alias("_v"), weight.cast("long").alias("_w"))
+    known = rows.filter(F.col("_v").isNotNull() & (F.col("_w") > 0))
+    finite = F.when(~F.isnan("_v") & (F.abs("_v") < float("inf")), F.col("_v"))
+    whole = cut(rows.groupBy(*groups).agg(
+        F.sum(F.when(F.col("_v").isNotNull() & (F.col("_w") > 0), F.col("_w"))).alias("_all"), F.coalesce(F.min(finite), F.lit(0.0)).alias("_low"), F.coalesce(F.max(finite), F.lit(0.0)).alias("_high")))
+    at = [F.struct((F.lit(2 * i + j)).alias("_i"), end((F.col("_all") - 1) * F.lit(float(p))).cast("long").alias("_rank"))
+          for i, p in enumerate(probs) for j, end in enumerate((F.floor, F.ceil))]
+    # one row per group and rank: the interval that holds it and the rows below that interval
+    targets = cut(whole.filter("_all is not null").select(
+        *groups, "_low", "_high", F.lit(0).cast("long").alias("_below"), F.explode(F.array(*at)).alias("_t")
+    ).select(*groups, "_low", "_high", "_below", "_t.*"))
+    done, open_rows = [], None
+    for step in range(PASSES):
+        inside = known if step == 0 else _inside(known, targets, groups)
+        if step == 0:
+            inside = attach(inside, whole.select(*groups, "_low", "_high"), groups)
+        cells = inside.withColumn("_cell", _cell(F.col("_v"), F.col("_low"), F.col("_high"))).groupBy(
+            *groups, "_low", "_cell").agg(F.sum("_w").alias("_n"), F.count("_w").alias("_rows"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+        targets = cut(_narrowed(cells, targets, groups, "_cell"))
+        done.append(targets.filter("_low = _high"))
+        targets = targets.filter("_low < _high")
+        open_rows = targets.select(*groups, "_low", "_rows").distinct().agg(F.sum("_rows")).first()[0]
+        if open_rows is None or open_rows <= chunk:
+            break
+    if open_rows is not None:
+        counts = _inside(known, targets, groups).groupBy(*groups, "_low", "_v").agg(F.sum("_w").alias("_n"), F.count("_w").alias("_rows"))
+        totals = running_totals(counts, "_v", ["_n"], [*groups, "_low"])
+        found = join_on(targets.drop("_high", "_rows"), totals.drop("_rows"), [*groups, "_low"]).filter(
+            (F.col("cum__n") - F.col("_n") <= F.col("_rank") - F.col("_below")) & (F.col("_rank") - F.col("_below") < F.col("cum__n")))
+        done.append(found.select(*groups, F.col("_v").alias("_low"), "_i"))
+    ends = reduce(DataFrame.unionByName, [d.select(*groups, "_low", "_i") for d in done])
+    picked = ends.groupBy(*groups).agg(*[F.max(F.when(F.col("_i") == i, F.col("_low"))).alias(f"_e{i}") for i in range(2 * len(probs))])
+    exact = []
+    for i, p in enumerate(probs):
+        position = (F.col("_all") - 1) * F.lit(float(p))
+        low, high, part = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}"), position - F.floor(position)
+        exact.append(F.when(low == high, low).otherwise((1 - part) * low + part * high))
+    both = attach(whole.select(*groups, "_all"), picked, groups)
+    return both.select(*groups, F.when(F.col("_e0").isNotNull(), F.array(*exact)).alias(name))
+
+
+def _inside(known: DataFrame, targets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows of `known` in an open interval of their group, with its ends; intervals of a group are equal or disjoint."""
+    intervals = targets.groupBy(*groups).agg(F.collect_set(F.struct("_low", "_high")).alias("_open"))  # two for each quantile at most
+    joined = attach(known, cut(intervals), groups)
+    mine = F.filter("_open", lambda t: (t["_low"] <= F.col("_v")) & (F.col("_v") <= t["_high"]))
+    return joined.withColumn("_open", F.get(mine, F.lit(0))).filter("_open is not null").select("*", "_open.*").drop("_open")
+
+
+def _narrowed(cells: DataFrame, targets: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
+    """Targets with the cell that holds their rank as the new interval."""
+    window = Window.partitionBy(*groups, "_low").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = cells.withColumn("_upto", F.sum("_n").over(window))  # at most CELLS + 3 rows in each window
+    rank = F.col("_rank") - F.col("_below")
+    # an interval has at most CELLS + 3 cells, of which each rank takes one
+    return join_on(targets.drop("_rows"), counted, [*groups, "_low"]).filter((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))).select(
+        *groups, F.col("_first").alias("_low"), F.col("_last").alias("_high"), (F.col("_below") + F.col("_upto") - F.col("_n")).alias("_below"),
+        "_i", "_rank", "_rows")

@@ -20,20 +20,22 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> D
 
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (schema.VINTAGE,),
-    sort_by: Sequence[str] = (), compact_numbers: bool = False,
+    sort_by: Sequence[str] = (), compact_numbers: bool = False, gather: bool = True,
 ) -> None:
     """Write to a new path.  Fails if it exists, so an input is never overwritten.
 
     Rows of one partition value are brought together before the write, in pieces of the session's
     advisory size, so that a large value is spread over many tasks and a small one makes one file;
     `sort_by` sorts inside each file, which gives tight row-group ranges for loan look-ups.
+    Without `gather`, rows are written where they are, without an exchange: for partitions of a few values only, since
+    every task writes one file for each value it holds.
     """
     if compact_numbers:
         df = df.withColumns({
             c: F.col(c).cast("float") for c, t in df.dtypes if t == "double"
         })
     present = [c for c in partition_by if c in df.columns]
-    if present:
+    if present and gather:
         df = df.hint("rebalance", *present)
     if sort_by:
         df = df.sortWithinPartitions(*present, *sort_by)

@@ -41,7 +41,7 @@ def rows(spark, sf):
     def make():
         path = f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}"
         split = model_rows(t.dataset(spark, sf, with_macro=False)).filter(F.col("split").isNotNull())
-        write_table(split, path, partition_by=["split"])
+        write_table(split, path, partition_by=["split"], gather=False)  # three values
         return path
 
     return read_table(spark, _once(spark, sf, "rows", make))

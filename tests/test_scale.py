@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.binning import equal_width_histogram, quantile_bins
 from creditspark.operators import sampling, validation
+from creditspark import scale
 from creditspark.scale import quantiles, running_totals
 
 
@@ -136,3 +137,37 @@ def test_stratified_quota(spark):
     got = sampling.stratified_sample(frame(spark, pdf), 500, ["id"], ["y"]).groupBy("y").count().collect()
     assert {r.y: r["count"] for r in got} == {k: int(500 * v / 3000) for k, v in pdf.y.value_counts().items()}
     assert sampling.stratified_sample(frame(spark, pdf), 4000, ["id"], ["y"]).count() == 3000
+
+@pytest.mark.parametrize("kind", ["heavy tail", "one value", "special", "narrow"])
+def test_selected_quantiles_equal_percentile(spark, large, kind):
+    spark.conf.set("spark.creditspark.chunkRows", "300")
+    rng = np.random.default_rng(8)
+    n = 3000
+    values = {
+        "heavy tail": np.exp(rng.normal(0, 40, n)), "one value": np.where(rng.random(n) < 0.6, 7.0, rng.normal(size=n)),
+        "special": np.where(rng.random(n) < 0.2, np.inf, np.where(rng.random(n) < 0.2, -np.inf, rng.normal(size=n))),
+        "narrow": 1e300 * rng.choice([-1.0, 1.0], n) + np.where(rng.random(n) < 0.5, 0, 5e-324)}[kind]
+    df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 5, n), "v": values, "w": rng.integers(0, 4, n)}))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    wanted = F.array(*[F.lit(p) for p in probs])
+    for groups, frequency in ((["g"], None), ([], None), (["g"], "w")):
+        got = quantiles(df, "v", probs, groups, frequency=frequency)
+        want = df.groupBy(*groups).agg(F.percentile("v", wanted, F.col(frequency) if frequency else F.lit(1)).alias("q"))
+        a, b = ({tuple(r)[:-1]: r.q for r in t.collect()} for t in (got, want))
+        assert a.keys() == b.keys()
+        assert all(np.allclose(a[k], b[k], rtol=1e-12, atol=0, equal_nan=True) for k in a)
+
+
+def test_selection_shuffles_cells_not_values(spark, large, monkeypatch):
+    """With chunks larger than what a cell holds, no pass groups by the value."""
+    spark.conf.set("spark.creditspark.chunkRows", "2000")
+    sizes, counted = [], scale.running_totals
+
+    def watched(df, *args, **options):
+        sizes.append(df.count())
+        return counted(df, *args, **options)
+
+    monkeypatch.setattr(scale, "running_totals", watched)
+    df = spark.range(200_000).selectExpr("id * 0.37 AS v")
+    assert quantiles(df, "v", [0.5]).first().q == [pytest.approx(0.37 * 199_999 / 2)]
+    assert sum(sizes) <= 2000
