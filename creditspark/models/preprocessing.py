@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.operators.summaries import long_form
-from creditspark.scale import cut, is_small, quantiles, running_totals
+from creditspark.scale import BROADCAST_ROWS, SMALL_BYTES, cut, is_small, quantiles, running_totals
 
+#: Levels of a column that are kept as a list; more make a table.
 MAX_LEVELS = 10_000
+#: Levels that are compared one by one in an expression; more are joined.
+LISTED = 100
+#: Share of the rows from which a level counts as heavy; there are at most 1 / HEAVY_SHARE of them.
+HEAVY_SHARE = 0.001
 
 
 def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str] | DataFrame]:
@@ -21,16 +26,17 @@ def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str] | D
     if not columns:
         return {}
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    found = cut(text.unpivot([], list(columns), "variable", "level").filter(F.col("level").isNotNull()).distinct())
+    found = cut(text.unpivot([], list(columns), "variable", "level").filter(F.col("level").isNotNull()).groupBy(
+        "variable", "level").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r["variable"]: r["count"] for r in found.groupBy("variable").count().collect()}
     few = [c for c in columns if sizes.get(c, 0) <= MAX_LEVELS]
     listed = found.filter(F.col("variable").isin(few)).collect()  # at most MAX_LEVELS for each column
     levels: dict[str, list[str] | DataFrame] = {c: sorted(r["level"] for r in listed if r["variable"] == c) for c in few}
     for c in columns:
         if c not in levels:
-            one = found.filter(F.col("variable") == c).select("level", F.lit(1).alias("_one"))
-            levels[c] = running_totals(one, "level", ["_one"]).select(
-                "level", (F.col("cum__one") - 1).cast("int").alias("code"))
+            one = found.filter(F.col("variable") == c).select("level", "n", F.lit(1).alias("_one"))
+            levels[c] = cut(running_totals(one, "level", ["_one"]).select(
+                "level", "n", (F.col("cum__one") - 1).cast("int").alias("code")))
     return levels
 
 
@@ -45,20 +51,46 @@ def encode_levels(
     df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence[str] | DataFrame] | None = None,
     fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace code columns by level numbers: by an expression, or by a join where there are many levels."""
+    """Replace code columns by level numbers: by an expression up to LISTED levels, by a join beyond."""
     if levels is None:
         levels = fit_levels(df if fit_on is None else fit_on, columns)
     names = df.columns
-    listed = {c: level_code(c, levels[c]) for c in columns if not isinstance(levels[c], DataFrame)}
+    listed = {c: level_code(c, levels[c]) for c in columns if not isinstance(levels[c], DataFrame) and len(levels[c]) <= LISTED}
     out = df.withColumns(listed)
     for c in columns:
         if c not in listed:
-            table = levels[c].select(F.col("level").alias("_level"), F.col("code").alias("_code"))
-            out = out.join(table, F.col(c).cast("string") == F.col("_level"), "left").withColumn(
-                c, F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
+            out = _join_codes(out, c, levels[c])
     return out.select(*names)
 
 
+def _join_codes(df: DataFrame, column: str, levels: Sequence[str] | DataFrame) -> DataFrame:
+    """The column replaced by the codes of a table (level, n, code) or of a list.
+
+    A dictionary of counted rows and bytes is broadcast, so the rows are not shuffled.  Of a larger one only the heavy levels are,
+    with the rows that hold them or nothing; all other rows are joined by the level, of which none is heavy any more.
+    """
+    if isinstance(levels, DataFrame):
+        size = levels.agg(F.count("level").alias("n"), F.sum(F.octet_length("level")).alias("bytes"), F.sum("n").alias("rows")).first()
+        whole = size.n <= BROADCAST_ROWS and size.bytes <= SMALL_BYTES
+        table = levels.select(F.col("level").alias("_level"), F.col("code").alias("_code"), "n")
+    else:
+        whole = True  # a list has at most MAX_LEVELS
+        table = df.sparkSession.createDataFrame([(v, i, 1) for i, v in enumerate(levels)], "_level string, _code int, n long")
+    text = F.col(column).cast("string")
+
+    def joined(rows: DataFrame, codes: DataFrame) -> DataFrame:
+        return rows.join(codes.drop("n"), text == F.col("_level"), "left")
+
+    if whole:
+        out = joined(df, F.broadcast(table))
+    else:
+        heavy = F.broadcast(cut(table.filter(F.col("n") > HEAVY_SHARE * size.rows)))
+        common = df.join(heavy.select("_level"), text == F.col("_level"), "left_anti").filter(text.isNotNull())
+        often = df.join(heavy.select("_level"), text == F.col("_level"), "left_semi").unionByName(df.filter(text.isNull()))
+        out = joined(often, heavy).unionByName(joined(common, table))
+    return out.withColumn(column, F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
+
+
 def fit_medians(df: DataFrame, columns: Sequence[str], approx: bool = False) -> dict[str, float | None]:
     """Median of the known values of each column."""
     if approx or is_small(df):

@@ -10,7 +10,7 @@ from creditspark import schema
 from creditspark.functions import cleaning
 from creditspark.functions.binning import equal_width_histogram
 from creditspark.models.preprocessing import encode_levels
-from creditspark.operators import history, joins, summaries, transitions
+from creditspark.operators import history, joins, sketches, summaries, transitions
 from creditspark.plans import loans
 from creditspark.scale import scratch_dir
 from creditspark.sources import write_buckets
@@ -402,6 +402,14 @@ def _(spark, sf):
     return summaries.unique_loans_by_vintage(t.panel(spark, sf))
 
 
+@query("sketch_audit", """
+SELECT vintage_year, count(*) AS n_rows, count(DISTINCT loan_sequence_number) AS n_distinct, true AS distinct_within, true AS quantile_within
+FROM panel GROUP BY 1""")
+def _(spark, sf):
+    rows = t.panel(spark, sf).select("vintage_year", "loan_sequence_number", "current_actual_upb")
+    return sketches.sketch_audit(rows, ["vintage_year"], "loan_sequence_number", "current_actual_upb")
+
+
 CORRELATED = [
     "credit_score", "original_ltv", "original_cltv", "original_dti", "original_interest_rate",
     "original_loan_term", "original_upb", "number_of_borrowers", "number_of_units", "loan_age",
