@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.binning import quantile_bins, quantile_edges, reference_bin
 from creditspark.functions.delinquency import psi_status
-from creditspark.scale import attach, cut, is_small, join_on, running_totals
+from creditspark.scale import attach, cut, join_on, running_totals
 
 
 def tally(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -163,9 +163,7 @@ def validation_report(
     df: DataFrame, y: str, p: str, is_reference: Column, by: Sequence[str], q: int = 10,
 ) -> DataFrame:
     """One row per model: metrics of the new rows, stability against the reference rows."""
-    tallies = tally(df.withColumn("_ref", is_reference), y, p, [*by, "_ref"])
-    if not is_small(df):
-        tallies = cut(tallies)
+    tallies = cut(tally(df.withColumn("_ref", is_reference), y, p, [*by, "_ref"]))  # three tables read them
     new = tallies.filter(~F.col("_ref"))
     report = _metrics(new, p, by).select(*by, "auc", "gini", "ks", "brier")
     for table in (

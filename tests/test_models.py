@@ -142,3 +142,31 @@ def test_linear_contributions_add_up(spark, data):
 def test_levels_of_the_panel(spark):
     found = tables.levels(spark, SF)
     assert found["loan_purpose"] == ["C", "N", "P"] and found["amortization_type"] == ["ARM", "FRM"]
+
+
+def test_logistic_coefficients_are_where_the_penalised_loss_is_flat(spark, data):
+    """The gradient of the weighted, penalised loss at the fitted coefficients, computed anew from the stored rows."""
+    train = parts(data)[0]
+    model = training.fit_base(train, FEATURES, "logistic", tol=1e-9)
+    rows = model.transform(train.select("label", *FEATURES)).select("label", "features").collect()
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
+    filled = train.select(*FEATURES).toPandas()
+    filled = filled.fillna(filled.median())
+    assert np.allclose(np.sort(x, axis=0), np.sort(((filled - filled.mean()) / filled.std(ddof=0)).to_numpy(), axis=0))
+    n, positive = len(y), y.sum()
+    weight = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive)))
+    fit = model.stages[-1]
+    coefficients = fit.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ coefficients + fit.intercept)))
+    penalty = coefficients / (training.INVERSE_REGULARIZATION * n)
+    gradient = (weight * (p - y)) @ x / weight.sum() + penalty
+    assert np.abs(gradient).max() < 1e-5 and abs((weight * (p - y)).sum() / weight.sum()) < 1e-5
+    assert np.abs((weight * (0.5 - y)) @ x / weight.sum()).max() > 1e-2  # at zero it is not flat
+
+
+def test_few_files_are_fitted_on_all_cores(spark, data, tmp_path):
+    data.coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    spread = training._spread(one)
+    assert one.rdd.getNumPartitions() == 1 and spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread.count() == one.count()

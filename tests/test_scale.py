@@ -171,3 +171,12 @@ def test_selection_shuffles_cells_not_values(spark, large, monkeypatch):
     df = spark.range(200_000).selectExpr("id * 0.37 AS v")
     assert quantiles(df, "v", [0.5]).first().q == [pytest.approx(0.37 * 199_999 / 2)]
     assert sum(sizes) <= 2000
+
+
+@BOTH
+def test_the_report_reads_the_rows_once(spark, tmp_path, mode, chosen):
+    path = str(tmp_path / "t")
+    frame(spark, scored()).withColumn("is_ref", F.col("id") % 3 == 0).write.parquet(path)
+    report = validation.validation_report(spark.read.parquet(path), "y", "p", F.col("is_ref"), ["g"])
+    assert "FileScan" not in report._jdf.queryExecution().executedPlan().toString()  # only the stored tallies are left
+    assert {r.g for r in report.collect()} == {"a", "b"}
