@@ -31,7 +31,7 @@ CELLS = 1024
 PASSES = 8
 
 
-def _setting(df: DataFrame, name: str, default: int) -> int:
+def setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(f"spark.creditspark.{name}", str(default)))
 
 
@@ -44,7 +44,7 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= _setting(df, "smallBytes", SMALL_BYTES)
+    return input_bytes(df) <= setting(df, "smallBytes", SMALL_BYTES)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -106,7 +106,7 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str] = ()) -> DataFrame
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys with more rows than one task should hold (pre-aggregated count)."""
-    limit = _setting(df, "hotRows", HOT_ROWS)
+    limit = setting(df, "hotRows", HOT_ROWS)
     return cut(df.groupBy(key).count().filter(F.col("count") > limit).select(key))
 
 
@@ -229,7 +229,7 @@ def calendar_max(
 
 
 def _chunked_windows(df, key, order, columns, behind, ahead, ties):
-    size = max(_setting(df, "chunkRows", CHUNK_ROWS), behind, ahead)
+    size = max(setting(df, "chunkRows", CHUNK_ROWS), behind, ahead)
     # Position of every row in its key = rows in earlier (order, ties) + rows in earlier cells + place in its cell.
     # The cell is the high end of the row's hash, so it spreads repeats of one (key, order) and keeps their order.
     names = df.columns
@@ -293,7 +293,7 @@ def running_totals(
         )
 
     df = cut(df)
-    ranges = -(-df.count() // _setting(df, "chunkRows", CHUNK_ROWS))  # as many rows in each, however many there are
+    ranges = -(-df.count() // setting(df, "chunkRows", CHUNK_ROWS))  # as many rows in each, however many there are
     ranged = cut(df.repartitionByRange(max(int(ranges), 1), *groups, order).withColumn("_range", F.spark_partition_id()))
     per_range = ranged.groupBy(*groups, "_range").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     group = Window.partitionBy(*groups)
@@ -366,7 +366,7 @@ def _selected(
     CELLS, not by the distinct values.  As soon as the open intervals hold no more rows than one task should (`chunkRows`), or
     after PASSES passes, the rest is counted per value.
     """
-    groups, chunk = list(groups), _setting(df, "chunkRows", CHUNK_ROWS)
+    groups, chunk = list(groups), setting(df, "chunkRows", CHUNK_ROWS)
     weight = F.lit(1) if frequency is None else F.col(frequency)
     rows = df.select(*groups, F.col(value).cast("double").alias("_v"), weight.cast("long").alias("_w"))
     known = rows.filter(F.col("_v").isNotNull() & (F.col("_w") > 0))

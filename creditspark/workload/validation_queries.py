@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.binning import quantile_bins
 from creditspark.models import sicr
+from creditspark.models.isotonic import calibrate, isotonic_blocks
 from creditspark.models.training import best_model, fit_isotonic
 from creditspark.operators import sampling, validation
 from creditspark.operators.summaries import rows
@@ -152,6 +153,37 @@ def _(spark, sf):
     return _rounded(fitted.groupBy("p", "pd").agg(rows().alias("n")), 6, "pd")
 
 
+ISO_FIT = """
+SELECT a.p, max(a.low) AS pd, any_value(a.n) AS n FROM (
+  SELECT i.p, i.n, k.i, min((j.s - k.s + k.y) / (j.c - k.c + k.n)) AS low
+  FROM iso i JOIN iso k ON k.i <= i.i JOIN iso j ON j.i >= i.i GROUP BY 1, 2, 3) a GROUP BY 1"""
+ISO = """
+SELECT p, y, n, row_number() OVER (ORDER BY p) AS i, CAST(sum(y) OVER (ORDER BY p) AS DOUBLE) AS s,
+  sum(n) OVER (ORDER BY p) AS c
+FROM (SELECT p, sum(y) AS y, count(*) AS n FROM score_sig_fx WHERE yr <= 1996 GROUP BY 1)"""
+
+
+def _earlier_blocks(spark, sf):
+    return isotonic_blocks(t.scores(spark, sf, signal=True).filter("yr <= 1996"), "y", "p")
+
+
+@query("isotonic_blocks", f"""
+SELECT min(p) AS low, max(p) AS high, round(pd, 6) AS pd, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT p, n, round(pd, 9) AS pd FROM ({ISO_FIT})) GROUP BY pd""", iso=ISO)
+def _(spark, sf):
+    return _rounded(_earlier_blocks(spark, sf), 6, "pd")
+
+
+@query("calibrate_later_scores", """
+SELECT obs_id, s.p AS p, round(CASE WHEN a.p IS NULL THEN b.pd WHEN b.p IS NULL THEN a.pd
+  ELSE a.pd + (b.pd - a.pd) * (s.p - a.p) / nullif(b.p - a.p, 0) END, 6) AS pd
+FROM (SELECT obs_id, p FROM score_sig_fx WHERE yr > 1996) s
+ASOF LEFT JOIN fit a ON s.p >= a.p ASOF LEFT JOIN fit b ON s.p < b.p""", iso=ISO, fit=ISO_FIT)
+def _(spark, sf):
+    later = t.scores(spark, sf, signal=True).filter("yr > 1996").select("obs_id", "p")
+    return _rounded(calibrate(later, _earlier_blocks(spark, sf), "p"), 6, "pd")
+
+
 # --- significant increase in credit risk ------------------------------------
 
 FLAG = """CASE WHEN coalesce(pd_current / nullif(pd_origination, 0) > 2.5, false)
