@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from creditspark import schema
-from creditspark.models import explain, preprocessing, sicr, training
+from creditspark.models import boosting, explain, preprocessing, sicr, training
 from creditspark.operators import sampling
 from creditspark.plans.loans import model_rows
 from creditspark.scale import scratch_dir
@@ -110,6 +110,37 @@ query("train_gbt")(_fit_and_score("gbt"))
 query("train_random_forest")(_fit_and_score("random_forest"))
 
 
+#: Trees of the registered second-order fit, which reads all training rows once per level.
+SECOND_ORDER_TREES = 25
+
+
+@query("train_boosted")
+def _(spark, sf):
+    train, _validation, test = parts(spark, sf)
+    model = _once(spark, sf, "boosted", lambda: boosting.fit_boosted(train, FEATURES, keys=ID, trees=SECOND_ORDER_TREES))
+    return model.score(test.select(*ID, "label", *[c for c in FEATURES if c not in ID])).select(*ID, "label", "pd")
+
+
+EDGES = {"credit_score": [620, 660, 700, 740, 780], "original_ltv": [60, 70, 80, 90], "original_dti": [20, 30, 40, 50], "loan_age": [6, 12, 24, 48]}
+
+
+@query("boosting_root_splits", """
+SELECT variable, arg_min(split, (-round(gain, 9), split)) AS split, round(max(gain), 6) AS gain
+FROM (SELECT *, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM sides)
+WHERE hl >= 1 AND h - hl >= 1 GROUP BY 1""",
+       labelled_rows=f"SELECT * FROM ({TYPED}) WHERE dpd_numerico IS NOT NULL",
+       values_long="\nUNION ALL ".join(
+           f"SELECT '{c}' AS variable, CAST(split AS DOUBLE) AS split, coalesce(CAST({c} AS DOUBLE), -999) AS x, CASE WHEN dpd_numerico >= 1 THEN 1 ELSE 0 END AS y "
+           f"FROM labelled_rows, unnest({e}) AS u(split)" for c, e in EDGES.items()),
+       sides="""
+SELECT variable, split, sum(0.5 - y) AS g, sum(0.25) AS h, coalesce(sum(0.5 - y) FILTER (x <= split), 0) AS gl,
+  coalesce(sum(0.25) FILTER (x <= split), 0) AS hl
+FROM (SELECT variable, split, x, CAST(y AS DOUBLE) AS y FROM values_long) GROUP BY 1, 2""")
+def _(spark, sf):
+    rows = _typed(spark, sf).withColumn("late", (F.col("dpd_numerico") >= 1).cast("int"))
+    return boosting.root_splits(rows, list(EDGES), list(EDGES.values()), "late").withColumn("gain", F.round("gain", 6))
+
+
 @query("score_calibrated")
 def _(spark, sf):
     path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
