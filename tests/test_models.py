@@ -170,3 +170,21 @@ def test_few_files_are_fitted_on_all_cores(spark, data, tmp_path):
     spread = training._spread(one)
     assert one.rdd.getNumPartitions() == 1 and spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread.count() == one.count()
+
+
+def test_comparison_equals_sql_on_the_stored_scores(spark, data, tmp_path):
+    import duckdb
+
+    models, _ = training.train_evaluate(data, FEATURES, ("logistic", "random_forest"), {"random_forest": {"numTrees": 5}})
+    training.scored_parts(models, data, FEATURES).write.parquet(str(tmp_path / "scores"))
+    want = duckdb.sql(f"""
+WITH s AS (SELECT * FROM '{tmp_path}/scores/*.parquet'),
+ranked AS (SELECT *, rank() OVER (PARTITION BY model, split ORDER BY pd) + (count(*) OVER (PARTITION BY model, split, pd) - 1) / 2 AS r FROM s)
+SELECT model, split, (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auc,
+  avg((pd - label) * (pd - label)) AS brier
+FROM ranked GROUP BY 1, 2""").fetchall()
+    got = {r.model: r for r in training.comparison(spark.read.parquet(str(tmp_path / "scores"))).collect()}
+    assert len(want) == 4
+    for model, split, auc, brier in want:
+        suffix = {"validation": "val", "test": "test"}[split]
+        assert abs(got[model][f"auc_{suffix}"] - auc) < 1e-9 and abs(got[model][f"brier_{suffix}"] - brier) < 1e-9
