@@ -64,3 +64,28 @@ def test_rows_nulls_and_empty(spark):
 ])
 def test_open_elements_and_class_names(tree, page, text):
     assert H.main_text(page, tree) == text
+
+
+LONG = "A paragraph of the page that has quite a few words in it, so that nobody would take it for a label or a menu."
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<div><h1>Head line</h1><p>tiny</p></div>", "Head line\n\ntiny"), ("<p>One short line.</p>", "One short line."),
+    (f"<p><a>Home</a></p><p><a>News</a></p><h1>Head line</h1><p>{LONG}</p><p>Yes.</p><p>{LONG}</p><p><a>More</a></p>", f"Head line\n\n{LONG}\n\nYes.\n\n{LONG}"),
+    (f"<p>{LONG}</p><p><a>Imprint and contact</a></p><p>All rights reserved</p>", LONG),
+    (f"<ul><li><a>One</a><li><a>Two</a></ul><div>{LONG}</div>", LONG),
+])
+def test_pages_without_article(tree, page, text):
+    assert H.main_text(page, tree) == text
+
+
+def test_neighbours_decide(tree):
+    """The same short block is text before a paragraph and none after the last link."""
+    used, nodes = set(), [tree.root]
+    while nodes:
+        node = nodes.pop()
+        if isinstance(node, tuple):
+            used.add(H.FEATURES[node[0]])
+            nodes += node[2:]
+    assert used & {"links_before", "links_after"} and used & {"words_before", "words_after"}
+    assert tree.judge((3.0, 0.0, 2.0, 1.0, 60.0, 0.0, 0.0, 0.0)) and not tree.judge((3.0, 0.0, 2.0, 1.0, 0.0, 0.0, 0.0, 0.0))
