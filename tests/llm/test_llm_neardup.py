@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,6 +87,62 @@ def test_a_bucket_of_many_classes_is_compared_in_blocks(spark, monkeypatch):
     assert got == {(a, b) for a, x, p in rows for b, y, q in rows if a > b and p != q and agree(x, y)} and got
 
 
+def test_texts_much_like_a_large_group_are_not_written_as_pairs(spark, monkeypatch):
+    """80 texts at similarities below 0.8 to 240 near copies: no table has a row for each of the 19,200 pairs."""
+    rng, words, rows = random.Random(11), [f"b{i}" for i in range(300)], []
+    for i in range(240):
+        rows.append((i, varied(rng, " ".join(words), 1)))
+    for i in range(240, 320):
+        at = rng.randrange(5, 260)
+        rows.append((i, " ".join(words[:at] + [f"f{rng.randrange(10**6)}" for _ in range(30)] + words[at + 30:])))
+    written, keep = [], Shelf.keep
+    monkeypatch.setattr(Shelf, "keep", lambda self, df: (written.append(keep(self, df)), written[-1])[1])
+    monkeypatch.setattr(Shelf, "drop", lambda self, *tables: None)
+    out = N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    counts = [t.count() for t in written]
+    assert {r.doc_id: r.class_id for r in out} == brute(rows) == {i: 0 if i < 240 else i for i in range(320)}
+    assert max(counts) <= len(rows) * N.BANDS
+
+
+@pytest.mark.parametrize("load", [1, 300])
+def test_blocks_of_heavy_texts_are_judged_in_parts(spark, monkeypatch, load):
+    monkeypatch.setattr(N, "STAR", 7)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(N, "LOAD", load)
+    rows = [(None if d is None else f"d{d}", t) for d, t in documents()]
+    out = N.classes(spark.createDataFrame(rows + rows[:20], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out if r.doc_id is not None} == brute(rows)
+
+
+@pytest.mark.parametrize("load", [1 << 20, 40])
+def test_links_of_a_block_join_what_all_its_links_join(spark, monkeypatch, load):
+    """Two sides of one block and a block with itself, weights by occurrences."""
+    monkeypatch.setattr(N, "LOAD", load)
+    rng, texts = random.Random(8), {}
+    for c in range(6):
+        base = " ".join(f"c{c}w{rng.randrange(2)}" for _ in range(60))
+        texts |= {10 * c + k: varied(rng, base, k % 4) for k in range(8)}
+    ids = sorted(texts)
+    places = [(1, 1, 0, 0, n, n, 56, True, True) for n in ids] + [(2, 0, 0, 1, n % 10, n, 56, n % 2 == 0, n % 2 == 1) for n in ids]
+    got = N._cross_links(
+        spark.createDataFrame(places, "bucket long, k int, i long, j long, label long, node long, size long, left boolean, right boolean"),
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 0.6, "count").collect()
+    bags = {n: Counter(tuple(t.split()[i:i + 5]) for i in range(56)) for n, t in texts.items()}
+    assert max(bags[0].values()) > 1
+    alike = lambda a, b: (bags[a] & bags[b]).total() >= 0.6 * (bags[a] | bags[b]).total()
+    want = [(a, b) for a in ids for b in ids if a < b and alike(a, b)]
+
+    def joined(pairs):
+        label = {n: n for n in ids}
+        for a, b in pairs:
+            low, high = sorted((label[a], label[b]))
+            label = {n: low if v == high else v for n, v in label.items()}
+        return label
+
+    assert want and joined(want) == joined([(r.node, r.centre) for r in got])
+    assert all(alike(r.node, r.centre) for r in got)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.classes(df).collect() == [] and N.keep_one(df).collect() == []
