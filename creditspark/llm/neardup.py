@@ -97,10 +97,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int = COO
             names, owner, heavy, region = names[more], owner[more], heavy[more], region + 1
         o, r, dart = (np.concatenate(x) for x in zip(*seen))
         cell = o * coordinates + (dart % np.uint64(coordinates)).astype(np.int64)
-        order = np.lexsort((dart, r, cell))
-        first = order[np.unique(cell[order], return_index=True)[1]]
-        out.reshape(-1)[cell[first]] = dart[first]
-        rank.reshape(-1)[cell[first]] = r[first]
+        best, names_at = rank.reshape(-1), out.reshape(-1)
+        np.minimum.at(best, cell, r)
+        first = np.flatnonzero(r == best[cell])
+        names_at[cell[first]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        np.minimum.at(names_at, cell[first], dart[first])
         todo = todo[np.isinf(rank[todo]).any(1)]
         limit[todo] *= 2.0
     return out
