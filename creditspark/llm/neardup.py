@@ -50,6 +50,9 @@ STAR, BLOCK = 4096, 512
 COMPARED = 1 << 23
 #: Shingles of the texts on either side that are judged at once.
 LOAD = 1 << 20
+#: Darts held at once while signatures are made, about; short texts have as many darts each as long ones.
+DARTS = 1 << 17
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -67,9 +70,21 @@ def weights(names: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return distinct, np.ones(len(distinct)) if kind == "set" else counts.astype(float)
 
 
+def _earliest(seen: list, rank: np.ndarray, out: np.ndarray) -> None:
+    """Take darts (document, rank, name) into the earliest darts so far: rank and name per coordinate, ties to the smaller name."""
+    o, r, dart = (np.concatenate(x) for x in zip(*seen))
+    cell = o * out.shape[1] + (dart % np.uint64(out.shape[1])).astype(np.int64)
+    best, names_at = rank.reshape(-1), out.reshape(-1)
+    before = best[cell]
+    np.minimum.at(best, cell, r)
+    names_at[cell[best[cell] < before]] = _NONE
+    first = np.flatnonzero(r == best[cell])
+    np.minimum.at(names_at, cell[first], dart[first])
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int = COORDINATES) -> np.ndarray:
     """One row of `coordinates` dart names per non-empty weighted set."""
-    out = np.zeros((len(sets), coordinates), np.uint64)
+    out = np.full((len(sets), coordinates), _NONE)
     rank = np.full((len(sets), coordinates), np.inf)
     todo = np.arange(len(sets))
     darts = coordinates * (np.log(coordinates) + 2.0)
@@ -78,7 +93,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int = COO
         names = np.concatenate([sets[i][0] for i in todo])
         heavy = np.concatenate([sets[i][1] for i in todo])
         owner = np.repeat(todo, [len(sets[i][0]) for i in todo])
-        seen, region = [], 0
+        seen, held, region = [], 0, 0
         while len(names):  # one turn per region of doubling width
             width = float(1 << region)
             key = W.mix(names + _salt(region + 1))
@@ -92,16 +107,15 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coordinates: int = COO
                 place = W.mix(draw ^ W.BASE)
                 hit = low + width * _unit(place) <= h
                 seen.append((o[hit], at[hit], W.mix(place + _ONE)[hit]))
+                held += len(seen[-1][0])
+                if held >= DARTS:
+                    _earliest(seen, rank, out)
+                    seen, held = [], 0
                 step += 1
             more = heavy > 2.0 * width - 1.0
             names, owner, heavy, region = names[more], owner[more], heavy[more], region + 1
-        o, r, dart = (np.concatenate(x) for x in zip(*seen))
-        cell = o * coordinates + (dart % np.uint64(coordinates)).astype(np.int64)
-        best, names_at = rank.reshape(-1), out.reshape(-1)
-        np.minimum.at(best, cell, r)
-        first = np.flatnonzero(r == best[cell])
-        names_at[cell[first]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        np.minimum.at(names_at, cell[first], dart[first])
+        if seen:
+            _earliest(seen, rank, out)
         todo = todo[np.isinf(rank[todo]).any(1)]
         limit[todo] *= 2.0
     return out

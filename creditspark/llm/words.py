@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from creditspark.llm.common import CHUNK, text_buffer
+from creditspark.llm.common import text_buffer
 
 SIZE = 5
+#: Bytes of text whose words are named at once, at some 40 bytes of memory for each.
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _IS_WORD = np.zeros(256, bool)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -160,6 +161,31 @@ def test_signatures_agree_as_often_as_weights_do():
     assert (one != 0).all() and np.array_equal(one, N.signatures([(names[:1], np.ones(1)), (names, x + 1)], 150)[:1])
 
 
+def test_signatures_of_many_short_texts_hold_few_darts_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), None) for n in rng.integers(20, 60, 600)]
+    sets = [(names, rng.integers(1, 4, len(names)).astype(float)) for names, _ in sets]
+    tracemalloc.start()
+    sig = N.signatures(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6  # all darts of the texts together are some 1.2 million, of 24 bytes and more each
+    monkeypatch.setattr(N, "DARTS", 1)
+    assert np.array_equal(sig[:20], N.signatures(sets[:20]))
+    monkeypatch.setattr(N, "DARTS", 1 << 40)
+    assert np.array_equal(sig, N.signatures(sets))
+
+
+def test_darts_of_equal_rank_go_to_the_smaller_name_whenever_they_come():
+    darts = [(0, 0.5, 7), (0, 0.5, 3), (0, 0.25, 9), (0, 0.25, 5), (0, 0.75, 1), (0, 0.25, 11)]
+    parts = [(np.array([o]), np.array([r]), np.array([d], np.uint64)) for o, r, d in darts]
+    for size in (1, 2, 3, 6):
+        rank, out = np.full((1, 1), np.inf), np.full((1, 1), 2**64 - 1, np.uint64)
+        for i in range(0, len(parts), size):
+            N._earliest(parts[i:i + size], rank, out)
+        assert rank[0, 0] == 0.25 and out[0, 0] == 5
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "node long, centre long")
     labels = {r.node: r.label for r in N.components(links, Shelf(spark)).collect()}

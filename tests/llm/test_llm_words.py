@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -32,3 +33,13 @@ def test_long_texts_are_cut_without_a_trace(monkeypatch):
     monkeypatch.setattr(W, "CHUNK", 64)
     parts = W.words(*W.lowered(text))
     assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+
+
+def test_words_of_a_megabyte_take_little_memory(monkeypatch):
+    raw = W.lowered(pa.array(["some words of a text " * 50] * 1000))
+    monkeypatch.setattr(W, "_powers", [])
+    tracemalloc.start()
+    W.words(*raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6
