@@ -172,12 +172,14 @@ def _characters(text: str, key: str, hexadecimal: bool = False) -> str:
         low = c.lower()
         if hexadecimal:
             alphabets.append("0123456789abcdef")
-        else:
-            alphabets.append("0123456789" if c in "0123456789" else _LETTER.get(low, ""))
+        elif c in "0123456789":
+            alphabets.append("0123456789")
+        else:  # a sign such as that of Kelvin, whose small letter has another capital, stays
+            alphabets.append(_LETTER.get(low, "") if c in (low, low.upper()) else "")
     at = [i for i, a in enumerate(alphabets) if a]
     if not at:
         return text
-    shape = "".join(f"{len(a)}." if a else c for c, a in zip(text.lower(), alphabets))
+    shape = "".join(f"{len(a)}." if a else c.lower() for c, a in zip(text, alphabets))
     made = _mixed([alphabets[i].index(text[i].lower()) for i in at], [len(alphabets[i]) for i in at], f"{key}|{shape}")
     out = list(text)
     for i, d in zip(at, made):
@@ -189,12 +191,18 @@ def _characters(text: str, key: str, hexadecimal: bool = False) -> str:
 # --- surrogates by type -----------------------------------------------------
 
 
+_RESERVED = re.compile(r"\.example$", re.I)
+
+
 def _email(text: str, key: str) -> str:
     front, dot, end = text.rpartition(".")
-    reserved = re.search(r"\.example$", front, re.I)
+    reserved = _RESERVED.search(front)
     if reserved:
         front, end = front[:reserved.start()], front[reserved.start() + 1:] + dot + end
-    return _characters(front, f"{key}|{end.lower()}") + "." + end
+    out = _characters(front, f"{key}|{end.lower()}")
+    while not reserved and _RESERVED.search(out):
+        out = _characters(out, f"{key}|{end.lower()}")
+    return out + "." + end
 
 
 def _ip(text: str, key: str) -> str:
@@ -225,6 +233,9 @@ def _card(text: str, key: str) -> str:
     return _put(text, [*made, _check_digit(made)])
 
 
+_FICTION = [5, 5, 5]  # the exchange that is kept for fiction
+
+
 def _american(digits: list[int]) -> bool:
     return len(digits) == 10 or len(digits) == 11 and digits[0] == 1
 
@@ -234,28 +245,38 @@ def _phone(text: str, key: str) -> str:
     american = _american(digits)
     kept = len(digits) - 10 if american else min(2, len(digits) - 1)
     own = digits[kept:]
-    if american:
+    fixed = american and own[3:6] == _FICTION
+    if american:  # an area code or exchange that begins with 0 or 1 is none, and its surrogate is none
         low = [2 if i in (0, 3) and d >= 2 else 0 for i, d in enumerate(own)]
-        fixed = own[3:6] == [5, 5, 5]  # the exchange that is kept for fiction
-        sizes = [1 if fixed and 3 <= i < 6 else 10 - n for i, n in enumerate(low)]
+        sizes = [1 if fixed and 3 <= i < 6 else 10 if i not in (0, 3) else 8 if n else 2 for i, n in enumerate(low)]
         low = [d if n == 1 else b for d, n, b in zip(own, sizes, low)]
         shape = f"a|{low}"
     else:
         low, sizes, shape = [0] * len(own), [10] * len(own), f"{digits[:kept]}|{len(own)}"
-    made = _mixed([d - b for d, b in zip(own, low)], sizes, f"{key}|{shape}")
-    return _put(text, digits[:kept] + [d + b for d, b in zip(made, low)])
+    while True:
+        own = [d + b for d, b in zip(_mixed([d - b for d, b in zip(own, low)], sizes, f"{key}|{shape}"), low)]
+        if fixed or not american or own[3:6] != _FICTION:  # other numbers go on until they leave that exchange
+            return _put(text, digits[:kept] + own)
 
 
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
 def _secret(text: str, key: str) -> str:
-    """Hexadecimal stays hexadecimal; others go on until the outcome is not, so the two never meet."""
+    """Hexadecimal stays hexadecimal of the same case; others go on until the outcome is not, so they never meet.
+
+    Digits alone count as small letters, so capitals go on until there is one.
+    """
     hexadecimal = _HEX.fullmatch(text) is not None
-    out = _characters(text, key, hexadecimal=hexadecimal)
-    while not hexadecimal and _HEX.fullmatch(out):
-        out = _characters(out, key)
-    return out
+    if not hexadecimal:
+        out = _characters(text, key)
+        while _HEX.fullmatch(out):
+            out = _characters(out, key)
+        return out
+    out = _characters(text.lower(), key, hexadecimal=True)
+    while text != text.lower() and out.isdigit():
+        out = _characters(out, key, hexadecimal=True)
+    return out if text == text.lower() else out.upper()
 
 
 def _from_list(name: str, names: tuple[str, ...], key: str) -> str:
@@ -379,11 +400,13 @@ def replaced(text: str, key: str = KEY) -> tuple[str, list[tuple[str, str, str]]
 
 def _same(kind: str, text: str) -> str:
     """The spelling under which an entity counts as the same; a phone number with its country, but for the 1 before ten digits."""
-    if kind in ("ip", "given", "surname", "secret", "access"):
+    if kind in ("given", "surname", "secret", "access"):
         return text
     if kind == "email":
         return text.lower()
-    digits = "".join(c for c in text if c.isdigit())
+    if kind == "ip":
+        return ".".join(str(int(n)) for n in text.split("."))
+    digits = "".join(c if kind == "ssn" else str(int(c)) for c in text if c.isdigit())
     return digits[-10:] if kind == "phone" and _american([int(c) for c in digits]) else digits
 
 

@@ -138,3 +138,28 @@ def test_secrets_of_two_alphabets_never_meet():
     assert len(made) == 4
     short = [a + b for a in "abcdefghij" for b in "abcdefghij"]
     assert len({P.surrogate("secret", s, "k") for s in short}) == len(short)
+
+
+def test_kinds_of_telephone_numbers_never_meet():
+    """An area code of 0 or 1 and the exchange 555 are kept apart, so that numbers of two kinds have no common surrogate."""
+    numbers = [f"{a}{b:02}-{e}-{i:04}" for a in "0137" for b in range(0, 100, 9) for e in ("555", "334", "034") for i in range(0, 10_000, 400)]
+    made = [P.surrogate("phone", n) for n in numbers]
+    assert len(set(made)) == len(numbers)
+    for old, new in zip(numbers, made):
+        assert (old[0] < "2") == (new[0] < "2") and (old[4] < "2") == (new[4] < "2") and (old[4:7] == "555") == (new[4:7] == "555")
+
+
+def test_hexadecimal_secrets_keep_their_case():
+    values = [f"{i * 104_729 % 16 ** 6:06x}" for i in range(3000)]
+    texts = sorted({*values, *(v.upper() for v in values)})
+    made = [P.surrogate("secret", t) for t in texts]
+    assert len(set(made)) == len(texts)
+    assert all((t == t.lower()) == (m == m.lower()) and P._HEX.fullmatch(m) for t, m in zip(texts, made))
+
+
+def test_signs_and_digits_of_other_scripts(spark):
+    assert P._same("phone", "\u0662\u0666\u0669-555-3296") == P._same("phone", "269-555-3296")
+    assert P._same("ip", "42.144.35.25\u0664") == "42.144.35.254"
+    for a, b in (("K", "\u212a"), ("Ω", "\u2126"), ("Θ", "\u03f4")):
+        assert P._characters(a + "-12345", "k")[0] != P._characters(b + "-12345", "k")[0] == b
+    assert P._characters("İa-b", "k")[0] == "İ" and len({P._characters(f"İ{c}-b", "k") for c in "abcdefghijklmnopqrstuvwxyz"}) == 26
