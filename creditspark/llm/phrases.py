@@ -6,7 +6,8 @@ first and its last k - 1 words are; where both are accepted at neighbouring posi
 candidates are the edges (node of the first k - 1 words, last word) of a trie, laid out as a double array and broadcast.
 A pass advances the states of all positions of a batch at once by one level, counts the accepting states with
 bincount, and Spark adds up the counts of all tasks.  The states are stored, so a level is one step, not a walk
-from the root.  Dictionary and trie are broadcast in shards of at most SHARD entries, one after the other, however many there are.
+from the root.  Dictionary and trie are broadcast in shards of at most SHARD entries, however many there are; one pass over the
+texts takes all shards of the dictionary, or AT_ONCE shards of the trie, of which a task holds one at a time.
 
 Scores compare a phrase with its parts: floor(SCALE * a / (l + r)) over all cuts in two parts, where a, l and r are the
 counts of the phrase and of the parts.  A phrase is dropped if a longer candidate that contains it has at least
@@ -35,6 +36,10 @@ TOP = 2000
 SCALE = 2_000_000
 #: Words, or edges of the trie, that are broadcast at once.
 SHARD = 500_000
+#: Shards of the trie that one pass over the rows takes, one after the other.
+AT_ONCE = 8
+#: Bytes of text whose words a task numbers together if the dictionary has several shards.
+GROUP = 1 << 24
 #: Positions that a task counts for each edge it may report, so that counts stay few beside the text.
 POSITIONS = 64
 #: Distinct words a task counts before it hands them on.
@@ -98,47 +103,56 @@ def _rows(numbers: np.ndarray, reach: int) -> Iterator[np.ndarray]:
 
 
 def _encoded(docs: DataFrame, shards: Iterator[dict], reach: int, shelf: Shelf) -> DataFrame:
-    """ids (word numbers), stored."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select("lang", "text").withColumn("ids", F.lit(None).cast("array<long>"))
-    before = None
-    for shard, last in shards:
-        held = context.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text"):
-                if last:
-                    for numbers in _number(batch, held.value):
-                        made = list(_rows(numbers, reach))
-                        if made:
-                            ids = pa.ListArray.from_arrays(np.cumsum([0] + [len(m) for m in made]).astype(np.int32),
-                                                           pa.array(np.concatenate(made)))
-                            yield pa.RecordBatch.from_arrays([ids], ["ids"])
-                else:
-                    numbers = [next(iter(_number(batch.slice(i, 1), held.value))) for i in range(batch.num_rows)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("lang"), batch.column("text"), pa.array(numbers, pa.list_(pa.int64()))], ["lang", "text", "ids"])
-
-        made = shelf.keep(rows.mapInArrow(run, "ids array<long>" if last else "lang string, text string, ids array<long>"))
-        held.unpersist()
-        if before is not None:
-            shelf.drop(before)
-        rows = before = made
-    return rows
+    """ids (word numbers), stored, in one pass over the texts.
 
+    A task numbers the distinct words of GROUP bytes of text at a time, so that it goes through the shards once for each group.
+    """
+    held = [docs.sparkSession.sparkContext.broadcast(shard) for shard in shards]
 
-def _number(batch: pa.RecordBatch, words: dict) -> Iterator[np.ndarray]:
-    """Word numbers of the texts of each language; numbers that earlier shards gave stay."""
-    if batch.column("ids").null_count == batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(pieces(batches, "text"), GROUP if len(held) > 1 else 0):
+            for numbers in _numbered(group, held):
+                made = list(_rows(numbers, reach))
+                if made:
+                    ids = pa.ListArray.from_arrays(np.cumsum([0] + [len(m) for m in made]).astype(np.int32),
+                                                   pa.array(np.concatenate(made)))
+                    yield pa.RecordBatch.from_arrays([ids], ["ids"])
+
+    made = shelf.keep(docs.select("lang", "text").mapInArrow(run, "ids array<long>"))
+    for shard in held:
+        shard.unpersist()
+    return made
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple[str, dict, np.ndarray]]]:
+    """Language, its distinct words so far with their places, and the places of the words of a piece, for `limit` bytes of text."""
+    group: list = []
+    known: dict[str, dict] = defaultdict(dict)
+    n = 0
+    for batch in batches:
         for lang, text in _by_language(batch):
-            found = tokens(text)
-            get = words.get(lang, {}).get
-            yield np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-        return
-    for i in range(batch.num_rows):
-        (numbers,) = _number(batch.slice(i, 1).set_column(2, "ids", pa.nulls(1, pa.list_(pa.int64()))), words)
-        earlier = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
-        yield np.append(np.where(earlier > 0, earlier, numbers), 0)[:len(numbers)]
+            found, places = tokens(text), known[lang]
+            group.append((lang, places, np.fromiter((places.setdefault(w, len(places)) for w in found), np.int64, len(found))))
+            n += len(text)
+        if n >= limit:
+            yield group
+            group, known, n = [], defaultdict(dict), 0
+    if group:
+        yield group
+
+
+def _numbered(group: list[tuple[str, dict, np.ndarray]], shards: list) -> Iterator[np.ndarray]:
+    """Word numbers of the pieces of a group; 0 for words of no shard."""
+    known = {lang: places for lang, places, _ in group}
+    numbers = {lang: np.zeros(len(places), np.int64) for lang, places in known.items()}
+    for held in shards:
+        for lang, places in known.items():
+            get = held.value.get(lang, {}).get
+            np.maximum(numbers[lang], np.fromiter((get(w, 0) for w in places), np.int64, len(places)), out=numbers[lang])
+        if len(shards) > 1:
+            _let_go(held)
+    for lang, _, at in group:
+        yield numbers[lang][at]
 
 
 def double_array(parents: np.ndarray, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +214,7 @@ class Trie:
     def advance(self, nodes: np.ndarray, following: np.ndarray) -> np.ndarray:
         """The nodes that all states reach with their next words; 0 where there is no edge."""
         out = np.zeros(len(nodes), np.int64)
-        live = np.flatnonzero((nodes > 0) & (following > 0))
+        live = np.flatnonzero((nodes >= self.nodes[0]) & (nodes <= self.nodes[-1]) & (following > 0))
         p = np.minimum(np.searchsorted(self.nodes, nodes[live]), len(self.nodes) - 1)
         c = np.minimum(np.searchsorted(self.words, following[live]), len(self.words) - 1)
         slot = self.base[p] + c
@@ -219,6 +233,25 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return flat, nodes.flatten().to_numpy(zero_copy_only=False), offsets, place < ROW
 
 
+def _together(batches: Iterator[pa.RecordBatch], positions: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold that many positions, so that a shard is read once for all of them."""
+    held: list = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("ids").flatten())
+        if n >= positions:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _let_go(held) -> None:
+    """Drop the worker's copy of a broadcast value; the next use reads it again from the executor's disk."""
+    held.__dict__.pop("_value", None)
+
+
 def _shifted(x: np.ndarray, by: int) -> np.ndarray:
     return np.append(x[by:], np.zeros(min(by, len(x)), x.dtype))
 
@@ -261,28 +294,36 @@ def _candidates(rows: DataFrame, size: int, least: int) -> DataFrame:
 def _advanced(rows: DataFrame, edges: DataFrame, n_edges: int, size: int, n_words: int, last: bool, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
     """ids and next (the nodes that stand for `size` words), stored, and the counts (id, f) of the accepting states.
 
+    A pass takes AT_ONCE shards of edges: a task keeps some rows and goes through the shards, one of them in memory at a time.
     A task reports each edge once, so there are as many tasks as the cluster runs at once, or as make POSITIONS positions per edge.
     """
-    first = 1
-    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, n_words // (POSITIONS * min(n_edges, SHARD))))
+    first, most = 1, SHARD * AT_ONCE
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, n_words // (POSITIONS * min(n_edges, most))))
     context = rows.sparkSession.sparkContext
     counts, before = None, None
     long = "array<long>"
-    for start in range(first, first + n_edges, SHARD):
-        part = edges.where(F.col("id").between(start, min(start + SHARD, first + n_edges) - 1)).orderBy("id").toArrow()
-        held = context.broadcast(Trie(part["parent"].to_numpy(), part["word"].to_numpy(), start))
-        del part
-        ends = start + SHARD >= first + n_edges
+    for start in range(first, first + n_edges, most):
+        ends = start + most >= first + n_edges
+        until = min(start + most, first + n_edges)
+        shards = []
+        for low in range(start, until, SHARD):
+            part = edges.where(F.col("id").between(low, min(low + SHARD, until) - 1)).orderBy("id").toArrow()
+            shards.append(context.broadcast(Trie(part["parent"].to_numpy(), part["word"].to_numpy(), low)))
+            del part
         columns = ["ids", *([] if ends else ["nodes"]), "next", "node", "n"]
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, ends=ends, columns=columns) -> Iterator[pa.RecordBatch]:
-            trie = held.value
-            accepted = np.zeros(trie.edges, np.int64)
-            for batch in batches:
+        def run(batches: Iterator[pa.RecordBatch], shards=shards, ends=ends, columns=columns, start=start, n=until - start) -> Iterator[pa.RecordBatch]:
+            accepted = np.zeros(n, np.int64)
+            for batch in _together(batches, 2 * TOGETHER if len(shards) > 1 else 0):
                 ids, nodes, offsets, own = _flat(batch)
-                reached = trie.advance(nodes, _shifted(ids, size - 1))
+                following = _shifted(ids, size - 1)
+                reached = np.zeros(len(nodes), np.int64)
+                for held in shards:
+                    reached = np.maximum(reached, held.value.advance(nodes, following))
+                    if len(shards) > 1:
+                        _let_go(held)
                 on = reached[own]
-                accepted += np.bincount(on[on > 0] - trie.first, minlength=trie.edges)
+                accepted += np.bincount(on[on > 0] - start, minlength=n)
                 if last and ends:
                     continue
                 if "next" in batch.schema.names:
@@ -295,11 +336,12 @@ def _advanced(rows: DataFrame, edges: DataFrame, n_edges: int, size: int, n_word
             none = pa.nulls(1, pa.list_(pa.int64()))
             for i in range(0, len(at), 1 << 16):
                 k = at[i:i + (1 << 16)]
-                lists = [pa.ListArray.from_arrays(np.array([0, len(k)], np.int32), pa.array(x)) for x in (k + trie.first, accepted[k])]
+                lists = [pa.ListArray.from_arrays(np.array([0, len(k)], np.int32), pa.array(x)) for x in (k + start, accepted[k])]
                 yield pa.RecordBatch.from_arrays([none] * (len(columns) - 2) + lists, columns)
 
         made = shelf.keep(rows.mapInArrow(run, ", ".join(f"{c} {long}" for c in columns)))
-        held.unpersist()
+        for held in shards:
+            held.unpersist()
         found = made.where("node is not null").select(F.explode(F.arrays_zip("node", "n")).alias("x")).groupBy(
             F.col("x.node").alias("id")).agg(F.sum("x.n").alias("f"))
         counts = found if counts is None else counts.unionByName(found)
@@ -323,12 +365,12 @@ def _levels(docs: DataFrame, least: int, longest: int, shelf: Shelf) -> tuple[Da
     n_words = words.count()
     levels = [words.select("id", "lang", F.col("word").alias("text"), "f")]
 
-    def shards() -> Iterator[tuple[dict, bool]]:
+    def shards() -> Iterator[dict]:
         for start in range(1, max(n_words, 1) + 1, SHARD):
             shard: dict = defaultdict(dict)
             for r in words.where(F.col("id").between(start, start + SHARD - 1)).toLocalIterator():
                 shard[r["lang"]][r["word"].encode()] = r["id"]
-            yield dict(shard), start + SHARD > n_words
+            yield dict(shard)
 
     held = _encoded(docs, shards(), longest - 1, shelf)
     rows = held.withColumn("nodes", F.col("ids"))

@@ -56,6 +56,25 @@ def test_equals_a_count_of_all_phrases(spark, monkeypatch, shard, row, together,
     assert {tuple(r) for r in got.collect()} == brute(rows, 6, 4, 80, 2000)
 
 
+def test_a_pass_takes_several_shards(spark, monkeypatch):
+    """The rows are not read and written again for every shard of the trie."""
+    monkeypatch.setattr(P, "SHARD", 4)
+    rows, passes = rows_of(60), {}
+
+    def through(at_once):
+        monkeypatch.setattr(P, "AT_ONCE", at_once)
+        written, keep = [], P.Shelf.keep
+        monkeypatch.setattr(P.Shelf, "keep", lambda self, df: (written.append(df.columns), keep(self, df))[1])
+        got = {tuple(r) for r in P.phrases(spark.createDataFrame(rows, DOCS).repartition(3), least=6).collect()}
+        monkeypatch.setattr(P.Shelf, "keep", keep)
+        passes[at_once] = sum("next" in c for c in written)
+        assert sum(c == ["ids"] for c in written) == 1  # nor the texts for every shard of the dictionary
+        return got
+
+    assert through(1) == through(3) == through(100) == brute(rows, 6, 4, 80, 2000)
+    assert passes[1] > passes[3] > passes[100] and passes[100] <= 3  # one for each phrase length
+
+
 def test_top_cover_and_ties(spark):
     rows = [(1, "a b. " * 7 + "c d. " * 7 + "e f g. " * 9 + "f g. ", "en", 0, 0)]
     docs = spark.createDataFrame(rows, DOCS)
