@@ -188,3 +188,17 @@ FROM ranked GROUP BY 1, 2""").fetchall()
     for model, split, auc, brier in want:
         suffix = {"validation": "val", "test": "test"}[split]
         assert abs(got[model][f"auc_{suffix}"] - auc) < 1e-9 and abs(got[model][f"brier_{suffix}"] - brier) < 1e-9
+
+
+def test_calibration_scores_each_row_once(spark):
+    """A costly score is not evaluated again for the rows without one."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        seen.add(1)
+        return None if x % 10 == 0 else x / 100
+
+    df = spark.range(100, numPartitions=3).select((F.col("id") % 3 == 0).cast("double").alias("y"), costly("id").alias("p"))
+    model = training.fit_isotonic(df, "y", "p")
+    assert seen.value == 100 and model.boundaries.size > 0
